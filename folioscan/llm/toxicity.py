@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Batches, batches, ddl, emit, strings
+from .ngram_join import ODD, WordHashes, shingles
 
 #: At most so many labelled rows are read to learn from.
 SAMPLE_ROWS = 8192
@@ -118,12 +119,13 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if not any(labels) or all(labels):
         return Model()
     sets, kept, seen = [fold(t) for t in texts], [], set()
+    cache = WordHashes()
     for i, s in enumerate(sets):
-        words = np.array([hash_word(w) for w in set(s.split())], np.uint64)
-        bands = {(j, int((words * np.uint64(2 * j + 0x9E3779B97F4A7C15)).min())) for j in range(0, 60, 10)} if len(words) else set()
-        if len(bands & seen) < 2:
+        tokens, _ = shingles(cache.of(s.encode()), 3)
+        mins = {(j, int((tokens * ODD[8 + j]).min())) for j in range(6)} if len(tokens) else set()
+        if len(mins & seen) < 2:
             kept.append(i)
-        seen |= bands
+        seen |= mins
     pos, neg = [i for i in kept if labels[i]], [i for i in kept if not labels[i]]
     inside = {i: candidates(sets[i]) for i in pos}
     have, lack = Counter(c for i in pos for c in inside[i]), Counter()
@@ -138,6 +140,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         return of * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0)) if p > share else 0.0
 
     sure = {c for c, n in have.items() if n / (n + lack[c]) >= 0.7 and surprise(n, n + lack[c]) >= most}
+    # Of a chain of beginnings in the same documents only the longest counts: it hits the fewest other words.
+    sure -= {c for c in sure if any(have.get(e) == have[c] for e in (t[:k] for t in sure if t.startswith(c) for k in range(len(c) + 1, len(t) + 1)) if e in sure)}
     # Beyond those: beginnings or words that cover label 1 where no sure term does, most first.
     default = Model()
     known = sure | set(default.terms)
@@ -163,12 +167,6 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def hash_word(w: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(w)
-
-
 def held_out():
     """True where crc32 of doc_id as text leaves 0 by 5; false for a null doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
