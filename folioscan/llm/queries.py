@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, packing, toxicity
+from . import chat, exact_dedup, itq_dedup, mixing, ngram_join, packing, pii, secrets, toxicity, warc
 from ._shared import source
 
 
@@ -22,27 +22,45 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn(docs, source(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(source(spark, sf_dir, "documents"))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = source(spark, sf_dir, "conversations")
+    return chat.parse(chat.transcripts(turns), chat.learn(turns))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(source(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_report(source(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.find_copies(source(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.link_vectors(source(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(source(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(source(spark, sf_dir, "pages"))[0]
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(source(spark, sf_dir, "documents"), 3, 90, 100).drop("row_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_toxicity": op1_toxicity,
-    "op4_mixing": op4_mixing,
-    "op6_exact_dedup": op6_exact_dedup,
-    "op8_packing": op8_packing,
-    "op10_ngram_join": op10_ngram_join,
+    f.__name__: f
+    for f in (op1_toxicity, op2_pii, op3_chat, op4_mixing, op5_secrets, op6_exact_dedup, op7_embedding_dedup, op8_packing, op9_warc, op10_ngram_join)
 }

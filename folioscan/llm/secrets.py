@@ -1,0 +1,114 @@
+"""Secret scans over an incremental blob ledger, in DataFrame operations only.
+
+Every version of a file is content-addressed (SHA-256); a blob is scanned once for each version of the rules, whatever
+number of paths hold it, and blobs that the ledger has with this rule version aren't scanned again. Findings are joined
+back to all paths. A span's place comes from the lengths of the matches and of the stretches between them, summed up in
+a window over the blob's matches, so a text with very many matches costs no more a match than one with few.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ._shared import table
+
+
+@dataclass(frozen=True)
+class Rule:
+    """kind; a Java pattern that matches no empty string; the group that must have least characters; a cheap test of the text."""
+
+    kind: str
+    pattern: str
+    group: int = 0
+    least: int = 1
+    hints: tuple[str, ...] = ()
+
+    def may_match(self, text: Column) -> Column:
+        found = text.rlike(self.pattern)
+        for i, h in enumerate(self.hints):
+            has = text.contains(h) if i == 0 else has | text.contains(h)
+        return has & found if self.hints else found
+
+
+# A run of at least 24 hexadecimal digits is what is left of all runs once the shorter ones are dropped; so with AKIA.
+RULES = (
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, (":", "=")),
+    Rule("access", "AKIA[A-Z0-9]{16,}", 0, 20, ("AKIA",)),
+    Rule("hex", "[0-9a-f]{24,}", 0, 24),
+)
+
+
+def rule_version(rules=RULES) -> str:
+    return hashlib.sha256(repr([(r.kind, r.pattern, r.group, r.least) for r in rules]).encode()).hexdigest()[:16]
+
+
+def blobs_of(versions: DataFrame) -> DataFrame:
+    return versions.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+
+
+def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
+    """(blob, text) -> (blob, spans) of blobs with a finding; spans: sorted array of (start, kind as its number in rules, end) in code points."""
+    text = F.col("text")
+    found = blobs.select("blob", "text", *(r.may_match(text).alias(f"c{i}") for i, r in enumerate(rules)))
+    any_ = F.lit(False)
+    for i in range(len(rules)):
+        any_ = any_ | F.col(f"c{i}")
+    found = found.where(any_)
+    arrays = []
+    for i, r in enumerate(rules):
+        p = F.lit(r.pattern)
+        both = F.zip_with(F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(r.group)), lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g")))
+        cut = F.zip_with(F.split(text, r.pattern, -1), both, lambda s, b: F.struct(F.length(s).alias("gap"), b["m"].alias("m"), b["g"].alias("g")))
+        arrays.append(F.when(F.col(f"c{i}"), cut).alias(f"a{i}"))
+    found = found.select("blob", *arrays)
+    each = found.select("blob", F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(f"a{i}").alias("a")) for i in range(len(rules))))).alias("k"))
+    each = each.select("blob", F.col("k.kind").alias("kind"), F.posexplode("k.a").alias("pos", "x")).where("x.m is not null")
+    end = F.sum(F.col("x.gap") + F.col("x.m")).over(Window.partitionBy("blob", "kind").orderBy("pos"))
+    least = F.element_at(F.array(*(F.lit(r.least) for r in rules)), F.col("kind") + 1)
+    each = each.withColumn("end", end).where(F.col("x.g") >= least)
+    return each.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("x.m")).alias("start"), "kind", "end"))).alias("spans"))
+
+
+def scan(versions: DataFrame, paths: list[str], rules=RULES, ledger: DataFrame | None = None, findings: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scans what ledger(blob, rule_version) lacks. Returns (by_path, ledger, findings), the last two with what is new.
+
+    versions: the columns of paths, and text; others are ignored. Null text counts as empty. by_path has every row of
+    versions, repeated ones too, with spans (empty array if none). Empty in, empty out.
+    """
+    version = rule_version(rules)
+    text = blobs_of(versions.select("text"))
+    ids = table(blobs_of(versions.select(*paths, "text")).drop("text"), "ids")
+    fresh = ids.select("blob").distinct()
+    if ledger is not None:
+        seen = ledger.where(F.col("rule_version") == version).select("blob")
+        fresh, text = fresh.join(seen, "blob", "left_anti"), text.join(seen, "blob", "left_anti")
+    # One row of each blob; copies meet on the map side first.
+    new = scan_blobs(text.groupBy("blob").agg(F.first("text").alias("text")).where("text is not null"), rules)
+    new = table(new.withColumn("rule_version", F.lit(version)), "findings")
+    ledger = (ledger.select("blob", "rule_version").union if ledger is not None else lambda x: x)(fresh.withColumn("rule_version", F.lit(version)))
+    findings = findings.select(*new.columns).union(new) if findings is not None else new
+    now = findings.where(F.col("rule_version") == version).select(F.col("blob").alias("f_blob"), "spans")
+    by_path = ids.join(now, ids["blob"] == now["f_blob"], "left").select(*paths, "blob", F.coalesce("spans", F.array().cast(now.schema["spans"].dataType)).alias("spans"))
+    return by_path, ledger, findings
+
+
+def joined(spans: Column, rules=RULES) -> Column:
+    """kind:start:end of spans in order, comma-joined."""
+    names = F.array(*(F.lit(r.kind) for r in rules))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
+
+
+def secrets_report(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    by_path, _, _ = scan(docs, ["doc_id"])
+
+    def of(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    count = [of(i).alias(f"n_{r.kind}") for i, r in enumerate(RULES)]
+    out = by_path.select(F.col("doc_id").cast("long").alias("doc_id"), *count, joined(F.col("spans")).alias("spans"))
+    return out.withColumn("base_sha256", F.sha2("spans", 256))
