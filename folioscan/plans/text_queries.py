@@ -98,12 +98,12 @@ paren as (select doc_id, s, e, g1, list_filter(flatten(list_transform(string_spl
 clean as (select *, list_filter(list_transform(raw, lambda w: trim(w, '.,;:"''()')), lambda w: regexp_matches(w, '^\p{{L}}')) as w from paren),
 tail as (select *, array_to_string(list_transform(w[greatest(len(w) - length(g1) - 14, 1):], lambda x: upper(x[1])), '') as initials from clean),
 defs as (select doc_id, g1, s from tail where contains(initials, g1) union all
-  select doc_id, g1, s from ({D.spans("d", "body", r"\b([A-Z]{3,})\s+\([a-zA-Z][a-zA-Z0-9\s\-,./']{3,80}\)", 0, 1)}) where g1 not in {_SKIP}),
-uses as (select u.* from ({D.spans("d", "body", r"\b([A-Z]{3,})\b", 0, 1)}) u where g1 not in {_SKIP} and not exists (select 1 from paren p where p.doc_id = u.doc_id and p.s <= u.s and u.s < p.e)),
+  select doc_id, g1, s from ({D.spans("d", "body", r"([A-Z]{3,})\s+\([a-zA-Z][a-zA-Z0-9\s\-,./']{3,80}\)", 0, 1)}) where g1 not in {_SKIP} and not regexp_matches(bef, '[\p{{L}}\p{{N}}_]')),
+uses as (select u.* from ({D.spans("d", "body", r"([A-Z]{3,})", 0, 1)}) u where not regexp_matches(bef, '[\p{{L}}\p{{N}}_]') and not regexp_matches(aft, '[\p{{L}}\p{{N}}_]') and g1 not in {_SKIP} and not exists (select 1 from paren p where p.doc_id = u.doc_id and p.s <= u.s and u.s < p.e)),
 first as (select * from uses qualify row_number() over (partition by doc_id, g1 order by s) = 1),
-judged as (select f.*, (select min(s) from defs x where x.doc_id = f.doc_id and x.g1 = f.g1) as at from first f)
-select doc_id, 'acronym_definition' as check_id, row_number() over (partition by doc_id order by s) as seq, s as pos, g1 as found, case when at is null then 'never_defined' else 'used_before' end as kind, {D.snippet(35)} as snippet
-from judged where at is null or at > s qualify seq <= 25"""
+judged as (select f.*, (select min(s) from defs x where x.doc_id = f.doc_id and x.g1 = f.g1) as def_at from first f)
+select doc_id, 'acronym_definition' as check_id, row_number() over (partition by doc_id order by s) as seq, s as pos, g1 as found, case when def_at is null then 'never_defined' else 'used_before' end as kind, {D.snippet(35)} as snippet
+from judged where def_at is null or def_at > s qualify seq <= 25"""
 for name, parts in (("typography_all", TYPOGRAPHY), ("syntax_grammar_all", GRAMMAR)):
     O[name] = " union all ".join(f"select doc_id, check_id, {'1' if p == 'quote_style_consistency' else 'seq'}::bigint as seq from ({O[p]})" for p in parts)
 
