@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, itq_dedup, mixing, ngram_join, packing, pii, secrets, toxicity, warc
+from . import chat, exact_dedup, itq_dedup, mixing, ngram_join, packing, pii, secret_scan, toxicity, warc
 from ._shared import source
 
 
@@ -36,7 +36,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secrets_report(source(spark, sf_dir, "documents"))
+    return secret_scan.secrets_report(source(spark, sf_dir, "documents"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
