@@ -43,13 +43,13 @@ def marker_of(line: str) -> tuple[int, str]:
     return (3, line) if role is None else (role, line[m.end() :])
 
 
-def features(line: str) -> tuple[int, int, int, int]:
-    """Marker class; length class; ends in a question mark; opens like a list item, code or quotation."""
+def features(line: str, gap: bool) -> tuple[int, ...]:
+    """Marker class; length class; ends in a question mark; opens like a list item, code or quotation; follows a blank line."""
     role, rest = marker_of(line)
-    return role, (0 if not rest.strip() else 1 if len(rest) < SHORT else 2 if len(rest) < LONG else 3), int(rest.rstrip().endswith("?")), int(bool(re.match(r"\s*(?:[-*>]|\d+[.)]|```|\s{4})", rest)))
+    return role, (0 if not rest.strip() else 1 if len(rest) < SHORT else 2 if len(rest) < LONG else 3), int(rest.rstrip().endswith("?")), int(bool(re.match(r"\s*(?:[-*>]|\d+[.)]|```|\s{4})", rest))), int(gap)
 
 
-SIZES = (4, 4, 2, 2)
+SIZES = (4, 4, 2, 2, 2)
 
 
 class Model:
@@ -68,12 +68,13 @@ class Model:
         for r in range(len(ROLES)):
             shows[0][2 * r] = [30.0 if i == r else 0.3 if i < 3 else 12.0 for i in range(4)]
             shows[0][2 * r + 1] = (0.1, 0.1, 0.1, 60.0)
+            shows[4][2 * r], shows[4][2 * r + 1] = (1, 9), (30, 1)
         shows[2][2], shows[2][3] = (3, 3), (4, 2)  # users ask
         shows[2][0] = shows[2][1] = shows[2][4] = shows[2][5] = (6, 1)
         shows[3][5] = (3, 2)  # assistants list
         for (r, opens, f, v), n in (lines or {}).items():
             shows[f][2 * r + (not opens), v] += n
-            if f == 0:
+            if f == 1:
                 first[r, 0 if opens else 1] += n
         self.shows = [np.log(x / x.sum(1, keepdims=True)) for x in shows]
         moves = np.full((K + 1, K), -np.inf)
@@ -86,10 +87,10 @@ class Model:
                     moves[s, 2 * q] = math.log(end * roles[r, q])
         self.moves = moves
 
-    def step(self, line: str) -> np.ndarray:
-        """(K + 1) x (K + 1) scores of going over this line from each state to each."""
+    def step(self, row: dict) -> np.ndarray:
+        """(K + 1) x (K + 1) scores of going over a line from each state to each."""
         out = np.full((K + 1, K + 1), -np.inf)
-        out[:, :K] = self.moves + sum(s[:, v] for s, v in zip(self.shows, features(line)))
+        out[:, :K] = self.moves + sum(s[:, v] for s, v in zip(self.shows, features(row["line"], row["gap"])))
         return out
 
 
@@ -143,7 +144,7 @@ def in_batches(schema: pa.Schema, rows, size: int = 2000) -> Batches:
 
 
 def decode(lines: DataFrame, model: Model) -> DataFrame:
-    """(conv_id, block, pos, line) -> with state, the best path's. blocks ascend with pos."""
+    """(conv_id, block, pos, line, gap) -> with state, the best path's. blocks ascend with pos; gap: a blank line is before."""
     node = batches({"conv_id": pa.int64(), "idx": pa.int64(), "m": pa.binary()})
     border = batches({"conv_id": pa.int64(), "idx": pa.int64(), "enter": pa.int32(), "leave": pa.int32()})
     out = batches({"conv_id": pa.int64(), "block": pa.int64(), "pos": pa.int64(), "state": pa.int32(), "line": pa.string()})
@@ -152,9 +153,9 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
     def leaves(it: Batches) -> Batches:
         def rows():
             for (conv, block), held in groups(it, ["conv_id", "block"]):
-                m = model.step(held[0]["line"])
+                m = model.step(held[0])
                 for r in held[1:]:
-                    m = times(m, model.step(r["line"]))
+                    m = times(m, model.step(r))
                 yield conv, block, m.tobytes()
 
         return in_batches(node, rows())
@@ -181,7 +182,7 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
     def states(it: Batches) -> Batches:
         def rows():
             for (conv, block), held in groups(it, ["conv_id", "block"]):
-                path = through([model.step(r["line"]) for r in held], held[0]["enter"], None if held[0]["leave"] < 0 else held[0]["leave"])
+                path = through([model.step(r) for r in held], held[0]["enter"], None if held[0]["leave"] < 0 else held[0]["leave"])
                 for r, s in zip(held, path):
                     yield conv, block, r["pos"], s, r["line"]
 
@@ -213,18 +214,21 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
 
 
 def transcripts(turns: DataFrame) -> DataFrame:
-    """Labelled turns (conv_id, turn, role, text) as unlabelled transcript lines: conv_id, block, pos, line.
+    """Labelled turns (conv_id, turn, role, text) as unlabelled transcript lines: conv_id, block, pos, line, gap.
 
-    Four turns in five open with a marker, in one of several spellings by a hash of conv_id and turn; the others have none.
+    A blank line ends each turn. Four turns in five open with a marker, in one of several spellings by a hash of conv_id and turn; the others have none.
     Null texts are one empty line. Rows that repeat a turn follow each other. Null turns come first.
     """
     h = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(10))
     spelled = F.when(F.col("role") == "user", F.element_at(F.array(*map(F.lit, ("User: ", "Human: ", "### Question\n", "**You**: "))), (h % 4 + 1).cast("int")))
     spelled = spelled.when(F.col("role") == "assistant", F.element_at(F.array(*map(F.lit, ("Assistant: ", "AI: ", "### Answer\n", "**Bot**: "))), (h % 4 + 1).cast("int")))
     spelled = spelled.when(F.col("role") == "system", F.lit("[system] "))
-    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.concat(F.when(h < 8, F.coalesce(spelled, F.lit(""))).otherwise(F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
-    each = t.select("conv_id", F.shiftright("turn", BLOCK_BITS).alias("block"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"), "turn")
-    return each.select("conv_id", "block", (F.shiftleft("turn", 24) + F.col("at")).alias("pos"), "line")
+    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.concat(F.when(h < 8, F.coalesce(spelled, F.lit(""))).otherwise(F.lit("")), F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"))
+    lines = F.split("text", "\n", -1)
+    pairs = F.zip_with(lines, F.concat(F.array(F.lit("")), lines), lambda x, before: F.struct(x.alias("line"), (before == "").alias("gap")))
+    each = t.select("conv_id", F.shiftright("turn", BLOCK_BITS).alias("block"), F.posexplode(pairs).alias("at", "x"), "turn").where("x.line is not null")
+    gap = F.when(F.col("at") == 0, F.col("turn") > 0).otherwise(F.col("x.gap"))
+    return each.select("conv_id", "block", (F.shiftleft("turn", 24) + F.col("at")).alias("pos"), F.col("x.line").alias("line"), gap.alias("gap"))
 
 
 def learn(turns: DataFrame) -> Model:
@@ -241,8 +245,8 @@ def learn(turns: DataFrame) -> Model:
             for role, text in zip(b.column("role").to_pylist(), b.column("text").to_pylist()):
                 if role in ROLES:
                     for i, line in enumerate((text or "").split("\n")):
-                        for f, v in enumerate(features(line)):
-                            if f or i:  # what markers there are says nothing of the roles' own lines
+                        for f, v in enumerate(features(line, False)):
+                            if f not in (0, 4) or (i and not f):  # texts have no markers, and what ends a turn isn't theirs
                                 key = (ROLES.index(role), int(not i), f, v)
                                 total[key] = total.get(key, 0) + 1
         if total:
@@ -256,7 +260,7 @@ def learn(turns: DataFrame) -> Model:
 def parse(lines: DataFrame, model: Model) -> DataFrame:
     """Turns of transcripts: conv_id, start (pos of its first line), role, n_lines, rendered.
 
-    lines: conv_id, block, pos, line (see transcripts()). A turn is rendered as <|role|>, its lines without the marker, and
+    lines: conv_id, block, pos, line, gap (see transcripts()). A turn is rendered as <|role|>, its lines without the marker, and
     <|end|>, each on lines of its own. Lines that repeat a pos stay, in any order. Empty in, empty out.
     """
     found = table(decode(lines, model), "states")
@@ -286,6 +290,8 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
             for c, s, r, text in zip(*(b.column(i).to_pylist() for i in range(4))):
                 head = marker_of(text[0])[1]
                 body = ([head] if head or len(text) == 1 else []) + text[1:]
+                while body and not body[-1].strip():
+                    body.pop()
                 rows.append((c, s, r, len(text), "\n".join([f"<|{r}|>", *body, "<|end|>"])))
             if rows:
                 yield emit(out, *map(list, zip(*rows)))
