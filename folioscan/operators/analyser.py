@@ -197,3 +197,31 @@ def formatting(rows: DataFrame) -> DataFrame:
     )
     found = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in issues)), lambda x: x.isNotNull())
     return rows.select("doc_id", "pos", style.alias("style"), F.explode(found).alias("issue"))
+
+
+def parsed_fields() -> list[Column]:
+    """An entry's fields under the names that the checks use, with their fallbacks."""
+    return [F.array_join(authors_of(F.col("author")), "; ").alias("authors"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("journal", "booktitle", F.lit("")).alias("container_title"), F.coalesce(F.nullif("year", F.lit("")), "date", F.lit("")).alias("pub_date"), F.lower(F.coalesce("entry_type", F.lit("misc"))).alias("entry_type")]
+
+
+def casing_by_style(rows: DataFrame) -> DataFrame:
+    """Journals that break the casing rule of an entry's style: issue_type and suggestion. All capitals over 4 characters first, then several words in lower case, then what isn't title case where the style asks for it."""
+    j, label = F.col("journal"), casing_label(F.col("journal"))
+    words_ = F.size(title_words(j))
+    kind = F.when((label == "ALL_CAPS") & (F.length(j) > 4), "all_caps").when((label == "all_lowercase") & (words_ > 1), "wrong_case")
+    kind = kind.when(style_of_kind().isin("APA", "MLA", "HARVARD", "IEEE") & ~label.isin("ALL_CAPS", "Title Case"), "wrong_case").when((style_of_kind() == "VANCOUVER") & (label == "all_lowercase"), "wrong_case")
+    suggestion = F.when(F.col("issue_type") == "all_caps", F.initcap(F.lower(j))).otherwise(title_case(j))
+    return rows.where(filled("journal")).select("doc_id", "pos", "journal", style_of_kind().alias("style"), kind.alias("issue_type")).where("issue_type is not null").withColumn("suggestion", suggestion)
+
+
+def quality_issues(rows: DataFrame, styled: DataFrame | None = None, cap: int | None = 50) -> DataFrame:
+    """Issues of the checks in their order (ordering, DOI, casing, completeness, then style conformity if styled is given): doc_id, seq, check, pos; at most cap of a document."""
+    parts = [("ordering", alpha_order(rows)), ("doi", doi_missing(rows)), ("journal_casing", journal_casing(rows)), ("completeness", completeness(rows))]
+    if styled is not None:
+        parts.append(("style_conformity", style_conformity(styled)))
+    out = None
+    for i, (name, df) in enumerate(parts):
+        one = df.select("doc_id", F.lit(i).alias("check_no"), F.lit(name).alias("check"), "pos", (F.col("field") if "field" in df.columns else F.lit("")).alias("field"))
+        out = one if out is None else out.unionByName(one)
+    out = out.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("check_no", "pos", "field")))
+    return (out.where(F.col("seq") <= cap) if cap else out).select("doc_id", "seq", "check", "pos", "field")

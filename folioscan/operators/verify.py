@@ -102,9 +102,11 @@ def verify(c: DataFrame, provider: Provider) -> DataFrame:
             rows = []
             for at in range(0, len(f), BATCH):
                 part = f.iloc[at : at + BATCH]
-                got = {x.get("candidate_id"): x for x in ask(provider, part.to_dict("records"))}
+                # A batch may hold several documents, whose candidate ids repeat.
+                asked = [{**r, "candidate_id": f"{r['doc_id']}/{r['candidate_id']}"} for r in part.to_dict("records")]
+                got = {x.get("candidate_id"): x for x in ask(provider, asked)}
                 for r in part.itertuples():
-                    x = got.get(r.candidate_id, {})
+                    x = got.get(f"{r.doc_id}/{r.candidate_id}", {})
                     decision = x.get("decision", "VERIFIER_FAILED")
                     rows.append((r.doc_id, r.candidate_id, decision if decision in DECISIONS else "UNCERTAIN", float(x.get("confidence", 0.5))))
             yield pd.DataFrame(rows, columns=["doc_id", "candidate_id", "decision", "confidence"])

@@ -109,3 +109,41 @@ def crossref(spark, sf_dir):
 Q["doi_deep_check"] = crossref
 O["doi_deep_check"] = f"""with r as ({BIB}), c as (select 'On topic ' || (p_partkey % 17) as t, '10.5/' || p_partkey as d, p_size * 2 as score from part), b as (select t, d, score from c qualify row_number() over (partition by t order by score desc, d desc) = 1)
 select doc_id, pos, title, d as doi, score::bigint as score from r join b on title = t where score >= 50 and {_TYPE} in ('article', 'chapter') and coalesce(doi, '') = ''"""
+
+
+def bibtex_to_parsed(spark, sf_dir):
+    r = select(spark, sf_dir, BIB, "orders").withColumn("booktitle", F.when(F.col("pos") % 2 == 0, F.lit("Proc. of Tests"))).withColumn("date", F.lit("2011-01")).withColumn("entry_type", A.entry_type())
+    return r.select("doc_id", "pos", *A.parsed_fields())
+
+
+Q["bibtex_to_parsed"] = bibtex_to_parsed
+O["bibtex_to_parsed"] = f"with r as ({BIB}) select doc_id, pos, trim(string_split(author, ',')[2]) || ' ' || trim(string_split(author, ',')[1]) as authors, coalesce(title, '') as title, coalesce(journal, case when pos % 2 = 0 then 'Proc. of Tests' end, '') as container_title, case when year = '' then '2011-01' else year end as pub_date, {ENTRY} as entry_type from r"
+_LABELS = O["casing_label"].split("with r as", 1)[1]
+_TITLED = O["to_title_case"].split("with r as", 1)[1]
+rel("journal_casing_style", A.casing_by_style, BIB, "orders", f""", lb as (with r2 as {_LABELS.replace(" from r where", " from r where")}), tt as (with r3 as {_TITLED}),
+k as (select r.doc_id, r.pos, journal, (['IEEE', 'APA', 'MLA', 'HARVARD', 'VANCOUVER'])[kind + 1] as style, label, titled from r join lb on r.doc_id = lb.doc_id and r.pos = lb.pos join tt on r.doc_id = tt.doc_id and r.pos = tt.pos),
+t as (select *, case when label = 'ALL_CAPS' and length(journal) > 4 then 'all_caps' when label = 'all_lowercase' and contains(journal, ' ') then 'wrong_case' when style <> 'VANCOUVER' and label not in ('ALL_CAPS', 'Title Case') then 'wrong_case' when style = 'VANCOUVER' and label = 'all_lowercase' then 'wrong_case' end as issue_type from k)
+select doc_id, pos, journal, style, issue_type, case when issue_type = 'all_caps' then array_to_string(list_transform(string_split(lower(journal), ' '), lambda w: upper(w[1]) || w[2:]), ' ') else titled end as suggestion from t where issue_type is not null""")
+
+
+def _union(*parts):
+    return " union all ".join(f"select doc_id, {i} as check_no, '{c}' as \"check\", pos, {f} as field from ({O[q]})" for i, (c, q, f) in enumerate(parts))
+
+
+_PARTS = (("ordering", "ordering_alpha", "''"), ("doi", "doi_missing", "''"), ("journal_casing", "journal_casing_consistency", "''"), ("completeness", "completeness_third", "field"))
+
+
+def third(spark, sf_dir):
+    return select(spark, sf_dir, BIB, "orders").where("pos % 3 = 0")
+
+
+O["completeness_third"] = O["completeness_fields"]
+for _q in ("ordering_alpha", "doi_missing", "journal_casing_consistency"):
+    O[f"{_q}_third"] = O[_q].replace(f"with r as ({BIB})", f"with r as ({BIB} where o_orderkey % 3 = 0)")
+_THIRD = tuple((c, q if q.endswith("third") else f"{q}_third", f) for c, q, f in _PARTS)
+Q["reference_quality_issues"] = lambda s, d: A.quality_issues(third(s, d))
+O["reference_quality_issues"] = f"select doc_id, row_number() over (partition by doc_id order by check_no, pos, field) as seq, \"check\", pos, field from ({_union(*_THIRD)}) qualify seq <= 50"
+Q["all_quality_issues"] = lambda s, d: A.quality_issues(third(s, d), styled(select(s, d, RAW, "orders")), None)
+O["all_quality_issues"] = f"select doc_id, row_number() over (partition by doc_id order by check_no, pos, field) as seq, \"check\", pos, field from ({_union(*_THIRD, ('style_conformity', 'style_conformity', chr(39) * 2))})"
+for _q in [k for k in O if k.endswith("_third")]:
+    del O[_q]

@@ -178,3 +178,25 @@ def llm_json_unwrap(spark, sf_dir):
 
 Q["llm_json_unwrap"] = llm_json_unwrap
 O["llm_json_unwrap"] = "select o_orderkey as doc_id, (array[1, 2, 0])[o_orderkey % 3 + 1] as n from orders"
+
+# What these must give for the front matter above, line by line, in words of their own.
+_ABSTRACT = "'We study how graphs that are sparse can be kept in memory by simple means and show that all of the common operations on them stay fast when the graph grows by orders of magnitude'"
+O["find_keywords"] = f"with {DUCK_LAID} select doc_id, 'graphs|sparse data|memory' as keywords from fr"
+O["table_captions"] = f"with {DUCK_LAID} select doc_id, 2 as number, 'Sizes of graphs' as caption_text, 1 as caption_page, false as ends_period, y0 as caption_y0 from l where line_no = 12"
+O["discover_tables"] = f"with {DUCK_LAID} select doc_id, 2 as number, 'Sizes of graphs' as caption_text, 1 as caption_page, 1 as first_mention_page from fr"
+O["detect_headings"] = f"with {DUCK_LAID} select doc_id, page_number, line_no, case line_no when 7 then case when doc_id % 2 = 0 then '1' end when 14 then '2.1' end as heading_number, regexp_replace(text, '^[0-9.]+ ', '') as heading_text, case when line_no = 17 then 2 else 1 end as level from l where line_no in (7, 14, 16, 17)"
+O["heading_levels"] = f"with {DUCK_LAID} select doc_id, level, 5 - 2 * level as n from fr cross join (values (1), (2)) v(level)"
+O["manuscript"] = f"with {DUCK_LAID} select doc_id, text as title, {_ABSTRACT} as abstract_text, len(string_split({_ABSTRACT}, ' ')) as abstract_word_count, 'graphs|sparse data|memory' as keywords, 'Ada Byron|Alan Kay|Grace Hopper' as authors from l where line_no = 0"
+O["ref_assemble"] = f"""with {DUCK_LAID}, e(item, number, raw_string, x0, a, b, doi, year) as (values (1, 1, '[1] Byron A. A first work on-line. 2001 continued here doi: 10.1000/ab', 72.0::double, 18, 19, 'doi:10.1000/ab', 2001), (2, 2, '[2] Kay A. Second work. 2002.', 72.0::double, 20, 20, null, 2002), (3, 3, '[3] Hopper G. Third.', 72.0::double, 21, 21, null, null))
+select doc_id, item, number, raw_string, 1 as page, x0, 60.0::double + 14 * a as y0, 500.0::double as x1, 70.0::double + 14 * b as y1, doi, year from fr cross join e"""
+O["accent_fold"] = f"with {D.BODY} select doc_id, md5(lower(strip_accents(full_text))) as folded from d"
+
+
+def _json_oracle():
+    from .text_queries import O as text
+
+    row = """'{"check_id":"' || check_id || '","seq":' || seq || ',"found":"' || found || '"}'"""
+    return f"select doc_id, '[' || string_agg({row}, ',' order by check_id, seq) || ']' as result from ({text['en_dash_ranges']}) group by doc_id"
+
+
+O["result_json"] = _json_oracle()

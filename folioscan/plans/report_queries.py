@@ -111,3 +111,4 @@ def verify_with_fake(spark, sf_dir):
 
 
 Q["verify_batches"] = verify_with_fake
+O["verify_batches"] = f"with {_RULED} select doc_id, candidate_id, case when length(detail) % 2 = 1 then 'VALID' else 'FALSE_POSITIVE' end as decision, 0.9::double as confidence from c where not skip_verifier"

@@ -68,7 +68,7 @@ def test_candidates_and_provider(spark):
     c = verify.candidates(spark.createDataFrame(rows, "doc_id long, check_id string, seq long, page int, detail string, found string"))
     assert sorted((r.candidate_id, r.category) for r in c.collect()) == [("ACRONY-001", "Structure"), ("ENDAS-002", "Formatting"), ("UNHEAR-003", "General")]
     sure, asked = verify.route(c)
-    got = verify.decided(asked, verify.verify(asked, lambda b: [{"candidate_id": "ACRONY-001", "decision": "FALSE_POSITIVE"}]))
+    got = verify.decided(asked, verify.verify(asked, lambda b: [{"candidate_id": "1/ACRONY-001", "decision": "FALSE_POSITIVE"}]))
     assert sorted((r.candidate_id, r.decision) for r in got.collect()) == [("ACRONY-001", "FALSE_POSITIVE"), ("UNHEAR-003", "VERIFIER_FAILED")]
     assert verify.findings(got).count() == 1 and sure.first().decision == "VALID"
 
