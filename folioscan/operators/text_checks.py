@@ -175,7 +175,8 @@ def spelling(docs: DataFrame) -> DataFrame:
 
     Words are looked up in the document's own distinct words, so each text is split once however many pairs there are.
     """
-    own = F.array_distinct(F.transform(F.split(F.col("body"), r"(?U)\W+"), F.lower))
+    every = F.array(*(F.lit(w) for pair in SPELLINGS for w in pair))
+    own = F.array_intersect(F.split(F.lower(F.col("body")), r"(?U)\W+"), every)  # by hashing; few are left to look among
     pairs = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(a).alias("american"), F.lit(b).alias("british")) for i, (a, b) in enumerate(SPELLINGS)))
     both = docs.select("doc_id", "body", F.slice(let(own, lambda o: F.filter(pairs, lambda p: F.array_contains(o, p["american"]) & F.array_contains(o, p["british"]))), 1, CAP).alias("p"))
     rows = both.where("size(p) > 0").select("doc_id", "body", F.posexplode("p").alias("i", "p"))

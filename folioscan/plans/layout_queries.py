@@ -70,7 +70,7 @@ add("ref_start_page", S.reference_start_page, f" select doc_id, 1 as start_page,
 add("two_column_detect", lambda x: S.two_columns(x.withColumn("x0", F.when(F.col("doc_id") % 3 == 0, F.col("x0") + (F.col("line_no") % 2) * 260).otherwise(F.col("x0")))), ", x as (select *, case when doc_id % 3 = 0 then x0 + (line_no % 2) * 260 else x0 end as xx from l) select doc_id, page_number, count(*) filter (xx > 0.45 * page_w) > 3 and count(*) filter (xx > 0.45 * page_w) > 0.1 * count(*) as two_column from x group by all")
 add("ref_header_slice", lambda x: S.after_header(x).select("doc_id", "line_no", "text"), f", h as (select doc_id, min(line_no) as h from l where regexp_matches(text, '{_HEAD}') group by doc_id) select doc_id, line_no, text from l join h using (doc_id) where line_no > h")
 add("layout_ref_style", lambda x: S.layout_style(S.after_header(x)), " select doc_id, 'numbered-bracket' as style from fr")
-add("ref_item_partition", lambda x: S.items(S.after_header(x)).select("doc_id", "line_no", "item"), ", h as (select * from l where line_no > 17), i as (select doc_id, line_no, sum(regexp_matches(text, '^\\s*\\[\\d+\\]')::int) over (partition by doc_id order by line_no) as item from h) select * from i where item > 0")
+add("ref_item_partition", lambda x: S.items(S.after_header(x)).select("doc_id", "line_no", "item"), ", h as (select * from l where line_no > 17), i as (select doc_id, line_no, (sum(regexp_matches(text, '^\\s*\\[\\d+\\]')::int) over (partition by doc_id order by line_no))::bigint as item from h) select * from i where item > 0")
 add("ref_assemble", lambda x: S.assembled(S.items(S.after_header(x))).withColumn("doi", R.doi_of(F.col("raw_string"), True)).withColumn("year", R.year_of(F.col("raw_string"))))
 Q["accent_fold"] = lambda s, d: manuscripts(s, d).select("doc_id", F.md5(S.fold_accents(F.col("full_text")).cast("binary")).alias("folded"))
 
