@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one long column that may be broadcast (about 32 MB); a longer list is joined by shuffling.
 BROADCAST_ROWS = 4_000_000
+#: Rows of whole texts that pass to a Python worker at once.
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,11 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and survives a lost executor."""
     path = f"{shared_dir(df.sparkSession)}/folioscan/{name}-{uuid.uuid4().hex}"
+    bound_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch: they hold whole texts, and both the JVM and the Python worker hold a batch several times."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -62,12 +72,23 @@ def row_key() -> Column:
 
 def by_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """docs left semi or anti the (doc_id, row_key) rows of keys. keys is broadcast only after a check of its size."""
-    few = keys.count() <= BROADCAST_ROWS // 2
+    few = keys.count() <= BROADCAST_ROWS // 8
     k = keys.select(F.col("doc_id").alias("_fs_id"), F.col("row_key").alias("_fs_key"))
     k = F.broadcast(k) if few else k
     return docs.join(k, F.col("_fs_id").eqNullSafe(docs["doc_id"]) & (F.col("_fs_key") == F.xxhash64(docs["doc_id"], docs["text"])), how)
 
 
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS // 8) -> DataFrame:
+    """df, a table, to be broadcast if it has at most so many rows; beyond, Spark joins by shuffling."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def only(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose column is in keys, a table. keys is broadcast only after a check of its size."""
+    k = keys.select(column)
+    return df.join(F.broadcast(k) if k.count() <= BROADCAST_ROWS // 8 else k, column, "left_semi")
+
+
 def members(ids: DataFrame, column: str) -> np.ndarray | None:
     """Sorted values of a long column if they are few enough to broadcast, else None."""
     if ids.count() > BROADCAST_ROWS:
@@ -87,13 +108,13 @@ def has(found: np.ndarray, values: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """edges(u, v) of longs -> (id, component) for every id of an edge; component is the smallest id in reach.
 
-    Alternates large-star and small-star steps. The smallest neighbours are tables of their own, so both sides of each
-    join are exchanged for it and a hub with very many neighbours is split by adaptive execution.
+    Alternates large-star and small-star steps. The smallest neighbours are tables of their own: broadcast if they are few,
+    else both sides of the join are exchanged for it and a hub with very many neighbours is split by adaptive execution.
     """
 
     def step(e: DataFrame, both: bool) -> DataFrame:
         pairs = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else e
-        least = table(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = sized(table(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least"))
         near = pairs.where("v > u") if both else pairs
         out = near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not both:
@@ -127,7 +148,7 @@ def emit(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary", pa.float64(): "double", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<long>"}
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary", pa.float64(): "double", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<long>", pa.list_(pa.int32()): "array<int>"}
     return ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema)
 
 

@@ -1,31 +1,42 @@
 """Exact Jaccard self-join on word shingles by prefix filters under several global token orders.
 
 Two sets with Jaccard >= num/den share a token in their prefixes (n - ceil(t n) + 1 tokens) under *any* global order of
-the tokens, so candidates may be asked to share one under each of several orders. Every order here puts shingles of rare
-words first, with ties dealt by another hash each time. Word frequencies are counted over all documents; words below a
-fixed rate count as equally rare, so the list of frequent words stays bounded however many documents there are.
-
-Groups of near copies would make all pairs of a group candidates. Rows with equal sets are one class first; then star
-links to one hub for each min-hash band, verified, give provisional components, and the prefix join only looks for
-pairs that lie in different components. That loses no link between components and is linear in a group's size.
+the tokens, so candidates may be asked to pass under each of several orders. The first order puts shingles of rare words
+first and finds the candidates; the others are the hash values upwards and downwards. Under each, the prefixes of two
+linked sets must share a number of tokens that follows from their sizes, most of them, which leaves few pairs to verify.
+Word frequencies are counted over all documents; words below a fixed rate count as equally rare, so the list of frequent
+words stays bounded however many documents there are.
+
+Groups of near copies would make all pairs of a group candidates. Rows with equal sets are one class first. Star links to
+one hub for each min-hash band, tested loosely on the prefixes alone, gather near copies into clusters; any clustering
+would do. Within a cluster all pairs are compared by one matrix product for each pair of blocks, which emits a spanning
+star of each linked part, not pairs. The prefix join only looks for pairs of different clusters, and joins the clusters of
+those that pass all orders. Between them, no link between components is lost.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Batches, as_long, batches, by_rows, connected_components, ddl, emit, has, members, row_key, table, texts
+from ._shared import Batches, as_long, batches, by_rows, connected_components, ddl, emit, only, row_key, sized, table, texts
 
 U = np.uint64
 #: Odd multipliers, one for each word of a shingle and then for each hash of a band or an order.
 ODD = np.random.RandomState(20240501).randint(0, 2**63 - 1, 64, dtype=np.int64).astype(U) * U(2) + U(1)
 #: A word in fewer than this share of the documents counts as rare.
-RARE = 0.001
-BANDS, BAND_WIDTH, ORDERS = 6, 2, 3
+RARE = 0.0002
+BANDS, BAND_WIDTH = 6, 2
+#: Sets of a cluster that are held in one place.
+BLOCK = 1000
+#: Rows with a prefix that may be broadcast (about 10 MB).
+WIDE_ROWS = 15_000
+PREFIXES = ("rare", "upward", "downward")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,11 +45,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def short(x: np.ndarray) -> np.ndarray:
+    return (x >> U(16)).astype(np.uint32).view(np.int32)
+
+
+def listed(rows: list, kind: pa.DataType) -> pa.Array:
+    """A list column from arrays, in one piece."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    flat = np.concatenate([np.asarray(x, kind.value_type.to_pandas_dtype()) for x in rows])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind.value_type)).cast(kind)
+
+
 class WordHashes(dict):
     """64-bit hashes of words; forgets all when full, which changes no hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -78,21 +100,21 @@ def common_words(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     out = batches({"word": pa.int64(), "n": pa.int64()})
 
     def count(it: Batches) -> Batches:
-        cache, held, size, rows = WordHashes(), [], 0, 0
+        held, rows = Counter(), 0
 
         def flush():
-            words, n = np.unique(np.concatenate(held), return_counts=True)
-            at = n >= max(2, int(rows * RARE / 2))
-            return emit(out, as_long(words[at]), n[at])
+            least = max(2, int(rows * RARE / 2))
+            some = [(xxhash.xxh3_64_intdigest(w), n) for w, n in held.items() if n >= least]
+            return emit(out, as_long(np.array([h for h, _ in some], U)), [n for _, n in some])
 
         for b in it:
             for x in texts(b):
-                held.append(np.unique(cache.of(x)))
-                size, rows = size + len(held[-1]), rows + 1
-                if size >= 4_000_000:
+                held.update(set(x.lower().split()))
+                rows += 1
+                if len(held) >= 200_000:
                     yield flush()
-                    held, size, rows = [], 0, 0
-        if held:
+                    held, rows = Counter(), 0
+        if rows:
             yield flush()
 
     found = docs.select("text").mapInArrow(count, ddl(out)).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total * RARE / 2)).toArrow()
@@ -102,8 +124,9 @@ def common_words(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, num: int, den: int) -> DataFrame:
-    """One row per document: doc_id, row_key, n, node (hash of the whole set, its class), bands, prefix0..: tokens under each order, rarest first."""
-    out = batches({"doc_id": pa.int64(), "row_key": pa.int64(), "n": pa.int64(), "node": pa.int64(), "bands": pa.list_(pa.int64())} | {f"prefix{i}": pa.list_(pa.int64()) for i in range(ORDERS)})
+    """One row per document: doc_id, row_key, n, node (hash of the whole set, its class), bands, and its prefix under each order; but for the first the tokens are cut to 32 bits."""
+    kinds = dict(zip(PREFIXES, (pa.int64(), pa.int32(), pa.int32())))
+    out = batches({"doc_id": pa.int64(), "row_key": pa.int64(), "n": pa.int32(), "node": pa.int64(), "bands": pa.list_(pa.int64())} | {x: pa.list_(k) for x, k in kinds.items()})
     least, words, weights = least_set(num, den), *common
 
     def run(it: Batches) -> Batches:
@@ -114,7 +137,7 @@ def signatures(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, n
                 h = cache.of(x)
                 s, first = shingles(h, k)
                 n = len(s)
-                row = [n, as_long(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], U))[0] if n else None, []] + [[] for _ in range(ORDERS)]
+                row = [n, as_long(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], U))[0] if n else None, [], [], [], []]
                 if n >= least:
                     mins = np.array([(s * a).min() for a in ODD[8 : 8 + BANDS * BAND_WIDTH]], U).reshape(BANDS, BAND_WIDTH)
                     row[2] = as_long(mix((mins * ODD[1 : 1 + BAND_WIDTH]).sum(1, dtype=U) + np.arange(BANDS, dtype=U)))
@@ -124,70 +147,129 @@ def signatures(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, n
                         w = np.where(words[at] == h, weights[at], 0)
                     c = np.concatenate([[0], np.cumsum(w)])
                     width = min(k, len(h))
-                    common_ness = np.round(c[width:] - c[:-width], 2)[first]
+                    # Rare first; the sort is stable, so ties go by hash.
+                    order = np.argsort(np.round((c[width:] - c[:-width])[first] * 100).astype(np.int32), kind="stable")
                     p = prefix_length(n, num, den)
-                    for i in range(ORDERS):
-                        row[3 + i] = as_long(s[np.lexsort((s * ODD[40 + i], common_ness))[:p]])
+                    row[3:] = as_long(s[order[:p]]), short(s[:p]), short(s[n - p :])
                 rows.append(row)
             if rows:
-                yield emit(out, b.column("doc_id"), b.column("row_key"), *map(list, zip(*rows)))
+                n, node, *lists = map(list, zip(*rows))
+                yield emit(out, b.column("doc_id"), b.column("row_key"), n, node, *(listed(x, out.field(i + 4).type) for i, x in enumerate(lists)))
 
     return docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("row_key")).mapInArrow(run, ddl(out))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs(a, b) of nodes whose sets have Jaccard >= num/den, from the whole texts."""
-    wanted = table(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    known = members(wanted, "node")
+def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, tokens) of the wanted classes, from the whole text of one row of each."""
+    wanted = table(only(classes.select("node", "row_key"), nodes, "node").select("row_key"), "wanted")
     out = batches({"node": pa.int64(), "tokens": pa.binary()})
 
     def run(it: Batches) -> Batches:
-        cache, sent = WordHashes(), set()
+        cache = WordHashes()
         for b in it:
-            sets = [shingles(cache.of(x), k)[0] for x in texts(b)]
-            nodes = as_long(np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), U, len(sets)))
-            keep = [i for i in np.flatnonzero(has(known, nodes)) if len(sets[i])] if known is not None else [i for i, s in enumerate(sets) if len(s)]
-            keep = [i for i in keep if not (nodes[i] in sent or (len(sent) < 200_000 and sent.add(nodes[i])))]
-            if keep:
-                yield emit(out, nodes[keep], [sets[i].tobytes() for i in keep])
-
-    sets = docs.select("text").mapInArrow(run, ddl(out))
-    if known is None:
-        sets = sets.join(wanted, "node", "left_semi")
-    sets = table(sets.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("t")), "b")
-    links = batches({"a": pa.int64(), "b": pa.int64()})
-
-    def compare(it: Batches) -> Batches:
-        for x in it:
-            ok = []
-            for s, t in zip(x.column("s").to_pylist(), x.column("t").to_pylist()):
-                s, t = np.frombuffer(s, U), np.frombuffer(t, U)
-                same = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
-                ok.append(den * same >= num * (len(s) + len(t) - same))
-            yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.select("a", "b", "s", "t").mapInArrow(compare, ddl(links))
-
-
-def star_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs of each class with the hub of each of its bands."""
-    b = classes.select("node", F.posexplode("bands").alias("band", "value"))
-    hubs = table(b.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c"), "hubs")
-    near = b.join(hubs, ["band", "value"]).where("node <> hub")
-    return near.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+            sets = [shingles(cache.of(x), k)[0].tobytes() for x in texts(b)]
+            if sets:
+                yield emit(out, as_long(np.fromiter(map(xxhash.xxh3_64_intdigest, sets), U, len(sets))), sets)
+
+    some = only(docs.select("text", row_key().alias("row_key")), wanted, "row_key").select("text")
+    return table(only(some.mapInArrow(run, ddl(out)), nodes, "node").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+
+
+def linked_parts(sets: list[np.ndarray], num: int, den: int) -> list[int]:
+    """For each set, the first set of its part; parts are connected by pairs with Jaccard >= num/den."""
+    n = np.array([len(s) for s in sets])
+    tokens, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    again = count > 1  # what only one set has is in no intersection
+    at = np.where(again, np.cumsum(again) - 1, -1)[column]
+    row = np.repeat(np.arange(len(sets)), n)
+    x = np.zeros((len(sets), max(1, int(again.sum()))), np.float32)
+    x[row[at >= 0], at[at >= 0]] = 1
+    same = (x @ x.T).astype(np.int64)
+    near = den * same >= num * (n[:, None] + n[None] - same)
+    part = np.full(len(sets), -1)
+    for i in range(len(sets)):
+        if part[i] < 0:
+            new = np.zeros(len(sets), bool)
+            new[i] = True
+            while new.any():
+                part[new] = i
+                new = near[new].any(0) & (part < 0)
+    return part.tolist()
+
+
+def links_within(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, component) of clusters -> links (u, v) that connect what pairs within a cluster connect.
+
+    A cluster's sets are cut into blocks of about BLOCK, and each pair of blocks is compared in one place; small clusters
+    share places.
+    """
+    blocks = table(clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    places = max(1, -(-clusters.count() // (BLOCK // 4)))
+    of = clusters.join(sized(blocks), "component").select(F.col("id").alias("node"), "component", "blocks", F.pmod(F.xxhash64("component"), F.lit(places)).alias("place"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    sent = of.select("node", "component", "place", "block", F.explode(other).alias("other"))
+    sent = sent.select("node", "component", "place", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sent = sets.join(sized(table(sent, "sent")), "node").select("place", "i", "j", "component", "node", "tokens")
+    links = batches({"u": pa.int64(), "v": pa.int64()})
+
+    def meet(group):
+        node, held = group.column("node").to_pylist(), [np.frombuffer(t, U) for t in group.column("tokens").to_pylist()]
+        cluster = group.column("component").to_numpy()
+        out = []
+        for c in np.unique(cluster):
+            at = np.flatnonzero(cluster == c)
+            if len(at) > 1:
+                out += [(node[at[i]], node[at[p]]) for i, p in enumerate(linked_parts([held[i] for i in at], num, den)) if i != p]
+        return pa.table([pa.array(x, pa.int64()) for x in (zip(*out) if out else ([], []))], schema=links)
+
+    return sent.groupBy("place", "i", "j").applyInArrow(meet, ddl(links))
+
+
+def near_hubs(classes: DataFrame) -> DataFrame:
+    """Edges (u, v) of each class to the hub of each of its bands, where their upward prefixes agree by half."""
+    b = classes.select("node", "n", F.posexplode("bands").alias("band", "value"))
+    hubs = b.groupBy("band", "value").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    hubs = table(hubs.select("band", "value", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    near = b.join(sized(hubs), ["band", "value"]).where(F.col("node") != F.col("hub")).where(4 * F.least("n", "hub_n") >= 3 * F.greatest("n", "hub_n"))
+    pairs = table(near.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "star_pairs")
+    ends = table(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "ends")
+    c = sized(table(only(classes.select("node", "upward"), ends, "node"), "prefixes"), WIDE_ROWS)
+    for side in ("u", "v"):
+        pairs = pairs.join(c.select(F.col("node").alias(side), F.col("upward").alias(f"{side}_p")), side)
+    return pairs.where(F.size(F.array_intersect("u_p", "v_p")) * 2 >= F.least(F.size("u_p"), F.size("v_p"))).select("u", "v")
+
+
+def screen(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that may be linked by their sizes and by the tokens their prefixes share under every order.
+
+    Of two linked sets, the i-th shared token is at most (set - overlap) places further back in either, so prefixes of
+    lengths p, q share at least min(p - n + overlap, q - m + overlap) tokens.
+    """
+    for x in PREFIXES[::-1]:
+        ends = table(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+        c = sized(table(only(classes.select("node", "n", x), ends, "node"), "prefixes"), WIDE_ROWS)
+        for side in ("a", "b"):
+            pairs = pairs.join(c.select(F.col("node").alias(side), *(F.col(y).alias(f"{side}_{y}") for y in ("n", x))), side)
+        n, m = F.col("a_n"), F.col("b_n")
+        overlap = F.ceil(F.lit(num) * (n + m) / F.lit(num + den) - F.lit(1e-6))
+        keep = F.lit(den) * F.least(n, m) >= F.lit(num) * F.greatest(n, m)
+        # Tokens of one set that agree in 32 bits would count once: one is allowed for.
+        need = F.least(F.size(f"a_{x}") - n, F.size(f"b_{x}") - m) + overlap - 1
+        keep = keep & (F.size(F.array_intersect(f"a_{x}", f"b_{x}")) >= need)
+        pairs = table(pairs.where(keep).select("a", "b"), "screened")
+    return pairs
 
 
 def prefix_pairs(classes: DataFrame, provisional: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of classes in different components that share a prefix token under every order."""
-    at = classes.join(provisional.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = at.select("node", "n", "component", F.posexplode("prefix0").alias("pos", "token"))
+    """Pairs of classes in different components that share a token in their prefixes of rare tokens."""
+    at = classes.join(sized(provisional).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = at.select("node", "n", "component", F.posexplode("rare").alias("pos", "token"))
     # Tokens that only one component has are done with.
     mixed = table(rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "mixed")
-    rows = table(rows.join(mixed, "token"), "rows")
+    rows = table(only(rows, mixed, "token"), "rows")
     # Of a token's rows, those of its most common component need no partner among themselves.
     main = table(rows.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main")), "main")
-    rows = table(rows.join(main, "token").withColumn("other", F.col("component") != F.col("main")).drop("main"), "marked")
+    rows = table(rows.join(sized(main), "token").withColumn("other", F.col("component") != F.col("main")).drop("main"), "marked")
     x = rows.where("other").select("token", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "component", "pos")))
     need = F.ceil(F.lit(float(num)) * (F.col("n") + F.col("n_x")) / F.lit(float(num + den)) - F.lit(1e-6))
     reach = F.least("pos", "pos_x") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n_x") - F.col("pos_x") - 1)
@@ -195,14 +277,7 @@ def prefix_pairs(classes: DataFrame, provisional: DataFrame, num: int, den: int)
         (F.col("component") != F.col("component_x")) & (~F.col("other") | (F.col("node") < F.col("node_x")))
         & (den * F.least("n", "n_x") >= num * F.greatest("n", "n_x")) & (reach >= need)
     )
-    pairs = table(pairs.select(F.greatest("node", "node_x").alias("a"), F.least("node", "node_x").alias("b")).distinct(), "shared0")
-    # The other orders, tested on the pairs that are left.
-    rest = [f"prefix{i}" for i in range(1, ORDERS)]
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("node").alias(side), *(F.col(p).alias(f"{side}_{p}") for p in rest)), side)
-    for p in rest:
-        pairs = pairs.where(F.arrays_overlap(f"a_{p}", f"b_{p}"))
-    return pairs.select("a", "b")
+    return pairs.select(F.greatest("node", "node_x").alias("a"), F.least("node", "node_x").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -216,22 +291,21 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     least = least_set(num, den)
     total = docs.count()
     each = table(signatures(docs, common_words(docs, total), k, num, den), "signatures")
-    firsts = [F.first(c).alias(c) for c in ("n", "bands", *(f"prefix{i}" for i in range(ORDERS)))]
+    firsts = [F.first(c).alias(c) for c in ("n", "row_key", "bands", *PREFIXES)]
     classes = table(each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), *firsts), "classes")
     wide = classes.where(F.col("n") >= least)
-    stars = table(verify(docs, table(star_pairs(wide), "stars"), k, num, den), "star_links")
-    first = table(connected_components(stars.select(F.col("a").alias("u"), F.col("b").alias("v"))), "provisional")
-    more = table(verify(docs, table(prefix_pairs(wide, first, num, den), "candidates"), k, num, den), "more_links")
-    # The rest of the links join provisional components, not documents.
-    lead = first.select(F.col("id"), F.col("component"))
-    links = more.join(lead.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(lead.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    second = connected_components(links.select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")))
-    final = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("upper")), "component", "left").select("id", F.coalesce("upper", "component").alias("component"))
-    final = final.union(second.select("id", "component").join(first.select("id"), "id", "left_anti"))
+    clusters = table(connected_components(near_hubs(wide)), "clusters")
+    across = screen(table(prefix_pairs(wide, clusters, num, den), "prefix_pairs"), wide, num, den)
+    # What passes joins clusters, so that every pair left to compare lies within one.
+    clusters = table(connected_components(clusters.select(F.col("id").alias("u"), F.col("component").alias("v")).union(across.select("a", "b"))), "clusters")
+    sets = sets_of(docs, wide, table(clusters.select(F.col("id").alias("node")), "nodes"), k)
+    links = table(links_within(clusters, sets, num, den), "links")
+    final = sized(table(connected_components(links), "components"))
     names = classes.select("node", "rep").join(final.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = table(names, "names")
     smallest = table(names.groupBy("component").agg(F.min("rep").alias("component_id")), "smallest")
-    named = table(names.join(smallest, "component").select(F.col("node").alias("c_node"), "component_id"), "named")
+    named = table(names.join(sized(smallest), "component").select(F.col("node").alias("c_node"), "component_id"), "named")
+    named = sized(named)
     return each.join(named, each["node"] == named["c_node"], "left").select(
         "doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
