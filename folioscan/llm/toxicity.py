@@ -27,7 +27,7 @@ from ._shared import Batches, batches, ddl, emit, strings
 from .ngram_join import ODD, WordHashes, shingles
 
 #: At most so many labelled rows are read to learn from.
-SAMPLE_ROWS = 8192
+SAMPLE_ROWS = 4096
 
 # Cyrillic, Greek and other letters that look like Latin ones; letters without a decomposition; digits and
 # signs that stand for letters. l, i, 1 and | share one symbol since each is written for the others.
