@@ -5,21 +5,29 @@ Each document's expected copies (its source's target / size) are prefix-summed w
 for the source, a document is emitted once for each integer boundary its stretch crosses, so the copies of a source
 differ from its share by less than one and no document has more than 2.
 
-The prefix sums are taken in fixed point and in two levels: within buckets of a source (order of magnitude of the size,
-then a residue of doc_id), and over the buckets' totals, so a source with a third of all rows is spread over many tasks.
-Going through a source by size keeps the mixed words near the target as well as the mixed documents.
+Documents of more than a hundredth of their source, fewer than a hundred of them, come first, largest first; each one's
+expected copies are what is left of the target over what is left of the source, so that later documents make up for what
+earlier ones took too much or too little. All others share one rate. Their prefix sums are taken in fixed point and in two
+levels: within buckets of a source (order of magnitude of the size, then a residue of doc_id), and over the buckets'
+totals, so a source with a third of all rows is spread over many tasks. Going through a source by size keeps the mixed
+words near the target as well as the mixed documents.
 """
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import row_key, table
+from ._shared import batches, ddl, row_key, sized, table
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Residues of doc_id that split each order of magnitude of a source.
 SUBS = 32
+#: Documents of more than 1 / LARGE of their source are mixed one by one.
+LARGE = 100
 #: Fixed point of expected copies.
 UNIT = 1 << 24
 SEED = "mix-1"
@@ -54,6 +62,23 @@ def offset(source: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(source, F.lit(""))).cast("binary")), 1, 6), 16, 10).cast("long")
 
 
+def large_first(rows: DataFrame, most: float) -> DataFrame:
+    """Large documents (source, doc_id, row_key, size, source_size, target, offset), fewer than a hundred of a source -> source, doc_id, row_key, nth (of equal rows), copies, and for each source's last one done: (prefix, words taken, words passed) after it."""
+    out = batches({"source": pa.string(), "doc_id": pa.int64(), "row_key": pa.int64(), "copies": pa.int64(), "last": pa.bool_(), "prefix": pa.int64(), "taken": pa.int64(), "passed": pa.int64()})
+
+    def take(group):
+        rows = sorted(group.to_pylist(), key=lambda r: (-r["size"], r["doc_id"] is not None, r["doc_id"], r["row_key"]))
+        prefix, taken, passed, made = rows[0]["offset"], 0, 0, []
+        for r in rows:
+            step = math.floor(min(max((r["target"] - taken) / (r["source_size"] - passed), 0.0), most) * UNIT)
+            copies = ((prefix + step) >> 24) - (prefix >> 24)
+            prefix, taken, passed = prefix + step, taken + copies * r["size"], passed + r["size"]
+            made.append((r["source"], r["doc_id"], r["row_key"], copies, len(made) + 1 == len(rows), prefix, taken, passed))
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*made), out)], schema=out)
+
+    return rows.groupBy("source").applyInArrow(take, ddl(out))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """One row per input row: doc_id, row_key, source, size (words), source_size, target, copies (0 to 2), taken (size x copies).
 
@@ -65,21 +90,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     magnitude = F.length(size.cast("string")) * 10 + F.substring(size.cast("string"), 1, 1).cast("int")
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), row_key().alias("row_key"), size_of().alias("size"))
     each = table(each.withColumn("bucket", magnitude).withColumn("sub", F.coalesce(F.pmod("doc_id", F.lit(SUBS)), F.lit(0))), "sizes")
-    totals = each.groupBy("source", "bucket", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    totals = table(totals, "totals")
-    goal = targets(totals.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    step = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long")
-    goal = goal.withColumn("step", step).withColumnRenamed("source", "g_source")
+    goal = targets(each.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    goal = table(goal.withColumn("offset", offset(F.col("source"))), "targets").withColumnRenamed("source", "g_source")
+    same = F.col("source").eqNullSafe(F.col("g_source"))
+    each = each.join(sized(goal), same).drop("g_source")
+    large = size * LARGE > F.col("source_size")
+    first = table(large_first(each.where(large), most), "large")
+    ends = table(first.where("last").select(F.col("source").alias("e_source"), "prefix", "taken", "passed"), "ends")
+    # Rows that repeat: each takes the next of the copies made for them.
+    nth = Window.partitionBy("doc_id", "row_key").orderBy("source")
+    made = first.select(F.col("doc_id").alias("m_id"), F.col("row_key").alias("m_key"), "copies").withColumn("m_nth", F.row_number().over(Window.partitionBy("m_id", "m_key").orderBy("copies")))
+    big = each.where(large).withColumn("nth", F.row_number().over(nth)).join(made, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("row_key") == F.col("m_key")) & (F.col("nth") == F.col("m_nth")))
+    rest = each.where(~large)
+    totals = table(rest.groupBy("source", "bucket", "sub").agg(F.count("*").alias("n")), "totals")
     before = Window.partitionBy("source").orderBy("bucket", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("source", "bucket", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    starts = starts.join(goal, F.col("source").eqNullSafe(F.col("g_source"))).withColumn("offset", offset(F.col("source")))
-    starts = table(starts.select(F.col("source").alias("s_source"), F.col("bucket").alias("s_bucket"), F.col("sub").alias("s_sub"), "before", "source_size", "target", "step", "offset"), "starts")
+    starts = totals.select(F.col("source").alias("s_source"), F.col("bucket").alias("s_bucket"), F.col("sub").alias("s_sub"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    starts = table(starts, "starts")
     within = Window.partitionBy("source", "bucket", "sub").orderBy("size", "doc_id", "row_key")
-    ranked = each.withColumn("rank", F.row_number().over(within))
-    joined = ranked.join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("bucket") == F.col("s_bucket")) & (F.col("sub") == F.col("s_sub")))
-    at = F.col("before") + F.col("rank")
-    crossed = F.shiftright(F.col("offset") + at * F.col("step"), 24) - F.shiftright(F.col("offset") + (at - 1) * F.col("step"), 24)
-    return joined.select("doc_id", "row_key", "source", "size", "source_size", "target", crossed.alias("copies"), (crossed * size).alias("taken"))
+    ranked = rest.withColumn("rank", F.row_number().over(within)).join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("bucket") == F.col("s_bucket")) & (F.col("sub") == F.col("s_sub")))
+    ranked = ranked.join(sized(ends), F.col("source").eqNullSafe(F.col("e_source")), "left")
+    left = F.col("source_size") - F.coalesce("passed", F.lit(0))
+    rate = F.least(F.greatest((F.col("target") - F.coalesce("taken", F.lit(0))) / left, F.lit(0.0)), F.lit(most))
+    step = F.when(left > 0, F.floor(rate * UNIT)).otherwise(0).cast("long")
+    at, start = F.col("before") + F.col("rank"), F.coalesce("prefix", "offset")
+    crossed = F.shiftright(start + at * step, 24) - F.shiftright(start + (at - 1) * step, 24)
+    names = ("doc_id", "row_key", "source", "size", "source_size", "target")
+    out = big.select(*names, "copies").union(ranked.select(*names, crossed.alias("copies")))
+    return out.withColumn("taken", F.col("copies") * size)
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:

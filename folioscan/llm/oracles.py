@@ -10,7 +10,7 @@ from d window w as (partition by t)
 """
 
 OP4 = r"""
-with d as (
+with recursive d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
 ), s as (
   select source, sum(size)::bigint as source_size from d group by source
@@ -23,16 +23,27 @@ with d as (
   from c window up as (order by fills, source nulls last rows between unbounded preceding and 1 preceding)
 ), g as (
   select source, source_size, least(cap, weight * coalesce((select arg_min(level, fills) from l where level <= fills), 0)) as target from l
-), r as (
-  select d.*, g.source_size, g.target,
-    case when g.source_size > 0 then floor(g.target / g.source_size * 16777216)::bigint else 0 end as step,
-    ('0x' || substr(md5('mix-1:' || coalesce(d.source, '')), 1, 6))::bigint as start,
-    row_number() over (partition by d.source order by length(d.size::varchar) * 10 + substr(d.size::varchar, 1, 1)::int, coalesce(((doc_id % 32) + 32) % 32, 0), d.size, doc_id nulls first) as rank
+), e as (
+  select row_number() over () as id, d.*, g.source_size, g.target, coalesce(d.source, chr(0)) as src, ('0x' || substr(md5('mix-1:' || coalesce(d.source, '')), 1, 6))::bigint as start
   from d join g on d.source is not distinct from g.source
+), big as (
+  select *, row_number() over (partition by src order by size desc, doc_id nulls first) as rank from e where size * 100 > source_size
+), walk(src, rank, id, copies, prefix, taken, passed) as (
+  select src, 0::bigint, -1::bigint, 0::bigint, min(start), 0::bigint, 0::bigint from e group by src
+  union all
+  select src, rank, id, copies, prefix, taken + copies * size, passed + size from (
+    select b.src, b.rank, b.id, b.size, ((w.prefix + st) >> 24) - (w.prefix >> 24) as copies, w.prefix + st as prefix, w.taken, w.passed
+    from walk w join (select * from big) b on b.src = w.src and b.rank = w.rank + 1, lateral (select floor(least(greatest((b.target - w.taken) / (b.source_size - w.passed), 0), 2.0::double) * 16777216)::bigint as st))
+), z as (
+  select * from walk qualify row_number() over (partition by src order by rank desc) = 1
+), r as (
+  select e.*, z.prefix, case when e.source_size > z.passed then floor(least(greatest((e.target - z.taken) / (e.source_size - z.passed), 0), 2.0::double) * 16777216)::bigint else 0 end as step,
+    row_number() over (partition by e.src order by length(size::varchar) * 10 + substr(size::varchar, 1, 1)::int, coalesce(((doc_id % 32) + 32) % 32, 0), size, doc_id nulls first) as rank
+  from e join z using (src) where size * 100 <= source_size
 )
-select doc_id, size, source_size, target,
-  size * (((start + rank * step) >> 24) - ((start + (rank - 1) * step) >> 24)) as taken
-from r
+select doc_id, size, source_size, target, size * (((prefix + rank * step) >> 24) - ((prefix + (rank - 1) * step) >> 24)) as taken from r
+union all
+select e.doc_id, e.size, e.source_size, e.target, e.size * w.copies as taken from e join walk w on e.id = w.id
 """
 
 
