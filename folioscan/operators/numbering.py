@@ -31,7 +31,7 @@ def sequential(rows: DataFrame) -> DataFrame:
 
 def chronological(rows: DataFrame, tie: list[str]) -> DataFrame:
     """(doc_id, number, first_mention_page) -> rows first mentioned on an earlier page than the entity before them by number."""
-    w = Window.partitionBy("doc_id").orderBy("number", *tie)
+    w = Window.partitionBy("doc_id").orderBy("number", *tie, "first_mention_page")
     r = rows.where("number is not null and first_mention_page is not null").withColumn("previous_page", F.lag("first_mention_page").over(w)).withColumn("previous_number", F.lag("number").over(w))
     return r.where("first_mention_page < previous_page").select("doc_id", "number", F.col("first_mention_page").alias("page"), "previous_number", "previous_page")
 
@@ -64,7 +64,7 @@ def figure_parts(rows: DataFrame) -> DataFrame:
 
 def equation_gaps(rows: DataFrame) -> DataFrame:
     """(doc_id, number, page_number, pos) -> gaps between adjacent numbers of documents with three or more: number (first missing), upto (last missing), page, seq; EQUATION_CAP each."""
-    one = rows.where("number >= 1").groupBy("doc_id", "number").agg(F.min_by("page_number", "pos").alias("page"))
+    one = rows.where("number >= 1").groupBy("doc_id", "number").agg(F.min_by("page_number", F.struct("pos", "page_number")).alias("page"))
     doc = Window.partitionBy("doc_id")
     g = one.withColumn("n", F.count("*").over(doc)).withColumn("after", F.lead("number").over(doc.orderBy("number"))).where("n >= 3 and after - number >= 2")
     g = g.withColumn("seq", F.row_number().over(doc.orderBy("number"))).where(F.col("seq") <= EQUATION_CAP)
@@ -75,7 +75,7 @@ def equation_punctuation(rows: DataFrame) -> DataFrame:
     """(doc_id, label, pos, context_before, context_after) -> equations that a sentence goes on from without a comma; EQUATION_CAP each."""
     before, after = (F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "") for c in ("context_before", "context_after"))
     r = rows.withColumn("a", after).where(F.col("a").rlike(pattern(r"^(?:where|with|in\s+which|such\s+that)\b", "i")) & ~before.rlike("[,.]$"))
-    r = r.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).where(F.col("seq") <= EQUATION_CAP)
+    r = r.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "label", "a"))).where(F.col("seq") <= EQUATION_CAP)
     return r.select("doc_id", "seq", "label", F.substring("a", 1, 60).alias("evidence"))
 
 

@@ -128,7 +128,7 @@ def bidirectional(refs: DataFrame, cited: DataFrame) -> DataFrame:
     """
     r = refs.where("number > 0").select("doc_id", "number").distinct()
     most = r.groupBy("doc_id").agg(F.max("number").alias("most"))
-    c = cited.where("number > 0").groupBy("doc_id", "number").agg(F.min_by("page", "pos").alias("page")).join(most, "doc_id", "left")
+    c = cited.where("number > 0").groupBy("doc_id", "number").agg(F.min_by("page", F.struct("pos", "page")).alias("page")).join(most, "doc_id", "left")
     c = c.where(F.col("most").isNull() | (F.col("number") <= F.col("most") + F.greatest(F.lit(5), F.floor(F.col("most") * 0.2))))
     tried, left = cited.select("doc_id").distinct(), c.select("doc_id").distinct()
     skipped = tried.join(left, "doc_id", "left_anti")

@@ -31,7 +31,7 @@ SEQUENTIAL = """, g as (select doc_id, list_sort(list(number)) as f from r where
 h as (select doc_id, f, list_filter(range(1, list_max(f) + 1), lambda x: not list_contains(f, x)) as m from g),
 k as (select doc_id, list_sort(list(number)) as a from (select doc_id, number from r group by all having count(*) > 1) group by doc_id)
 select doc_id, array_to_string(f, ',') as found_sequence, array_to_string(m, ',') as missing_numbers, coalesce(array_to_string(a, ','), '') as duplicate_numbers, len(m) = 0 and a is null as passed from h left join k using (doc_id)"""
-CHRONOLOGICAL = """, w as (select *, lag(first_mention_page) over o as pp, lag(number) over o as pn from r window o as (partition by doc_id order by number, l_partkey, l_suppkey))
+CHRONOLOGICAL = """, w as (select *, lag(first_mention_page) over o as pp, lag(number) over o as pn from r window o as (partition by doc_id order by number, l_partkey, l_suppkey, first_mention_page))
 select doc_id, number, first_mention_page as page, pn as previous_number, pp as previous_page from w where first_mention_page < pp"""
 for kind, base in (("figure", FIGURES), ("table", TABLES)):
     relation(f"{kind}_sequential_numbering", N.sequential, base, "lineitem", SEQUENTIAL)
@@ -41,11 +41,11 @@ relation("figure_caption_below", lambda r: N.caption_side(r, False), BOXES, "lin
 relation("figure_parts_mention", N.figure_parts, CAPTIONS, "part", r""", p as (select doc_id, number, list_sort(list_distinct(list_transform(regexp_extract_all(caption_text, '\(([a-zA-Z])\)', 1), lambda x: lower(x)))) as p from r),
 q as (select *, list_filter(list_transform(range(97, ascii(p[-1]) + 1), lambda c: chr(c::int)), lambda c: not list_contains(p, c)) as m from p where len(p) > 0 and (list_contains(p, 'a') or (len(p) >= 2 and ascii(p[-1]) - ascii(p[1]) + 1 = len(p))))
 select doc_id, number, array_to_string(p, ',') as found_parts, case when p[1] = 'a' then array_to_string(m, ',') else '' end as missing_parts, p[1] = 'a' as starts_at_a from q where p[1] <> 'a' or len(m) > 0""")
-relation("equation_sequential_numbering", N.equation_gaps, EQUATIONS, "lineitem", """, o as (select doc_id, number, arg_min(page_number, pos) as page from r where number >= 1 group by all),
+relation("equation_sequential_numbering", N.equation_gaps, EQUATIONS, "lineitem", """, o as (select doc_id, number, arg_min(page_number, pos * 100 + page_number) as page from r where number >= 1 group by all),
 w as (select *, count(*) over (partition by doc_id) as n, lead(number) over (partition by doc_id order by number) as after from o)
 select doc_id, row_number() over (partition by doc_id order by number) as seq, number + 1 as number, after - 1 as upto, page from w where n >= 3 and after - number >= 2 qualify seq <= 20""")
 relation("equation_punctuation", N.equation_punctuation, CONTEXTS, "lineitem", r""", t as (select *, trim(context_after) as a, trim(context_before) as b from r)
-select doc_id, row_number() over (partition by doc_id order by pos) as seq, label, substr(a, 1, 60) as evidence from t where regexp_matches(a, '(?i)^(?:where|with|in\s+which|such\s+that)\b') and not regexp_matches(b, '[,.]$') qualify seq <= 20""")
+select doc_id, row_number() over (partition by doc_id order by pos, label, a) as seq, label, substr(a, 1, 60) as evidence from t where regexp_matches(a, '(?i)^(?:where|with|in\s+which|such\s+that)\b') and not regexp_matches(b, '[,.]$') qualify seq <= 20""")
 
 
 def in_text_reference_consistency(spark, sf_dir):

@@ -106,7 +106,7 @@ Q["bidirectional_match"] = bidirectional_match
 O["bidirectional_match"] = """with r as (select distinct l_orderkey as doc_id, l_linenumber as number from lineitem where l_returnflag = 'A'),
 x as (select doc_id, max(number) as most from r group by doc_id),
 t as (select l_orderkey as doc_id, l_linenumber as number, month(l_shipdate) as page, l_partkey * 100000 + l_suppkey as pos from lineitem where l_returnflag <> 'A'),
-c as (select doc_id, number, arg_min(page, pos) as page from t left join x using (doc_id) where most is null or number <= most + greatest(5, floor(most * 0.2)) group by all),
+c as (select doc_id, number, arg_min(page, pos * 100 + page) as page from t left join x using (doc_id) where most is null or number <= most + greatest(5, floor(most * 0.2)) group by all),
 b as (select doc_id, 'missing_from_refs' as type, number, page from c where not exists (select 1 from r where r.doc_id = c.doc_id and r.number = c.number)
   union all select doc_id, 'uncited_ref', number, null from r where not exists (select 1 from c where r.doc_id = c.doc_id and r.number = c.number) and (doc_id not in (select doc_id from t) or doc_id in (select doc_id from c)))
 select *, row_number() over (partition by doc_id order by type, number) as seq from b"""
