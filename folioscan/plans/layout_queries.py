@@ -57,7 +57,7 @@ add("manuscript", lambda x: S.title(x).select("doc_id", "title").join(S.abstract
 
 
 def image_caption_match(spark, sf_dir):
-    rows = load(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    rows = load(spark, sf_dir, "lineitem")
     c = rows.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("number")).agg(F.min(F.col("l_partkey") % 3 + 1).cast("int").alias("caption_page"), F.min(F.col("l_suppkey") * 7.0 % 700).alias("caption_y0"))
     i = rows.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 3 + 1).cast("int").alias("page_number"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("img"), F.lit(50.0).alias("x0"), (F.col("l_quantity") * 8.0).alias("y0"), (F.col("l_quantity") + 80.0).alias("x1"), (F.col("l_quantity") * 8.0 + 60).alias("y1"))
     return S.match_images(c, i.dropDuplicates(["doc_id", "img"]))

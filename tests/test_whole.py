@@ -31,3 +31,18 @@ def test_every_order(spark, duck, name):
     sql = ORACLES[name].replace(" where o_orderkey % 3 = 0", "")
     got, wanted = rows_of(QUERIES[name](spark, DATA), duck.sql(sql))
     assert got == wanted and {int(r[3]) % 3 for r in got} == {0, 1, 2}  # pos is the fourth column of each
+
+
+def test_every_document_is_matched(spark, duck):
+    got = {r.doc_id for r in QUERIES["image_caption_match"](spark, DATA).collect()}
+    # A document with an image above a caption on its page, within 500 points, or on the page before, has a match.
+    wanted = duck.sql("""with c as (select l_orderkey as doc_id, min(l_partkey % 3 + 1) as page, min(l_suppkey * 7.0 % 700) as y0 from lineitem group by l_orderkey, l_linenumber),
+      i as (select l_orderkey as doc_id, l_suppkey % 3 + 1 as at, l_quantity * 8 + 60 as y1 from lineitem)
+      select distinct c.doc_id from c join i on c.doc_id = i.doc_id and (i.at = c.page and i.y1 <= c.y0 and c.y0 - i.y1 <= 500 or i.at = c.page - 1)""").fetchall()
+    assert got == {r[0] for r in wanted} and {d % 5 for d in got} == {0, 1, 2, 3, 4}
+
+
+def test_every_label_is_parsed(spark, duck):
+    sql = ORACLES["equation_label_parse"].replace(" where l_linenumber = 1", "")
+    got, wanted = rows_of(QUERIES["equation_label_parse"](spark, DATA), duck.sql(sql))
+    assert got == wanted and len(got) == duck.sql("select count(*) from lineitem").fetchall()[0][0]
