@@ -68,13 +68,20 @@ Q["missing_keywords"] = missing_keywords
 O["missing_keywords"] = rf"with {D.BODY} select doc_id from d where not regexp_matches(body, '(?im)^\s*(?:keywords?|index\s+terms?|key\s+words?)\b')"
 
 
+def highlighted(m: DataFrame, needle: str) -> DataFrame:
+    """(doc_id, pos, word): words of full_text that the first occurrence of needle covers; pos counts words from 0. needle is in lower case, without blanks at its ends.
+
+    A word's number is the number of blanks before it in the words joined by blanks, so no offsets are kept for each word.
+    """
+    m = m.withColumn("w", T.words(F.col("full_text"))).withColumn("before", F.split(F.lower(F.array_join("w", " ")), T.quote(needle), 2)).where("size(before) = 2")
+    first = F.size(F.split(F.col("before")[0], " ")) - 1
+    rows = m.select("doc_id", first.alias("first"), F.posexplode(F.slice("w", first + 1, needle.count(" ") + 1)).alias("i", "word"))
+    return rows.select("doc_id", (F.col("first") + F.col("i")).alias("pos"), "word")
+
+
 def highlight_spans(spark, sf_dir):
     """Words of a page that the first occurrence of a search text covers."""
-    m = manuscripts(spark, sf_dir).withColumn("w", T.let(T.words(F.col("full_text")), lambda w: F.slice(w, F.greatest(F.size(w) - 79, F.lit(1)), 80)))
-    m = m.withColumn("needle", F.lit("doe, j. (2019)")).withColumn("at", F.instr(F.lower(F.array_join("w", " ")), F.col("needle")) - 1).where("at >= 0")
-    ends = F.aggregate("w", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out")), lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("s"), (a["at"] + F.length(x)).alias("e")))).alias("out")), lambda a: a["out"])
-    rows = m.select("doc_id", "at", F.length("needle").alias("n"), F.posexplode(F.arrays_zip(F.col("w").alias("w"), ends.alias("b"))).alias("pos", "x"))
-    return rows.where(F.col("x.b.s").cast("int") < F.col("at") + F.col("n")).where(F.col("x.b.e") > F.col("at")).select("doc_id", "pos", F.col("x.w").alias("word"))
+    return highlighted(manuscripts(spark, sf_dir), "doe, j. (2019)")
 
 
 Q["highlight_spans"] = highlight_spans

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from folioscan.plans import report_queries
 from folioscan.plans.catalog import ORACLES, QUERIES
 from folioscan.sources.manuscripts import TABLES
 
@@ -46,3 +47,18 @@ def test_every_label_is_parsed(spark, duck):
     sql = ORACLES["equation_label_parse"].replace(" where l_linenumber = 1", "")
     got, wanted = rows_of(QUERIES["equation_label_parse"](spark, DATA), duck.sql(sql))
     assert got == wanted and len(got) == duck.sql("select count(*) from lineitem").fetchall()[0][0]
+
+
+@pytest.mark.parametrize("name", ["highlight_spans"])
+def test_first_occurrence(spark, duck, name):
+    """As the SQL, over all words in place of the last 80."""
+    sql = ORACLES[name].replace("w[greatest(len(w) - 79, 1):]", "w")
+    got, wanted = rows_of(QUERIES[name](spark, DATA), duck.sql(sql))
+    assert got == wanted and max(int(r[1]) for r in got) > 80
+
+
+def test_highlights_early_words(spark):
+    texts = ["so (DOE,  J.\n(2019)) said " + "more " * 100 + "Doe, J. (2019).", "Doe, J. (2019) " + "x " * 90, "İİ Doe, J. (2019)!", "x " * 90, None, "", "Doe, J. (2018)"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, full_text string")
+    got = sorted(tuple(r) for r in report_queries.highlighted(df, "doe, j. (2019)").collect())
+    assert got == [(0, 1, "(DOE,"), (0, 2, "J."), (0, 3, "(2019))"), (1, 0, "Doe,"), (1, 1, "J."), (1, 2, "(2019)"), (2, 1, "Doe,"), (2, 2, "J."), (2, 3, "(2019)!")]
