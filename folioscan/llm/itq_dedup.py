@@ -1,9 +1,10 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 A rotation learned on a bounded sample (FIT_ROWS vectors) makes balanced 64-bit codes whose Hamming distance follows the
-angle. The codes of all vectors are cut into chunks, one hash table each; a pair is retrieved if a chunk differs in at
-most one bit and the codes in at most RADIUS bits, and is then reranked by the cosine of the original vectors in double
-precision. Chunks have as many bits as the largest label has powers of two, so buckets stay small at any size.
+angle. TABLES windows of each code, evenly spaced around it, are the keys of as many hash tables; a pair is retrieved if
+a window differs in at most one bit (two from WIDE bits on) and the codes in at most RADIUS bits, and is then reranked by
+the cosine of the original vectors in double precision. Windows have as many bits as the largest label has powers of two,
+so buckets stay small at any size; they overlap when wider than the space between them, so there are as many at any width.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from ._shared import Batches, as_long, batches, connected_components, ddl, emit, table
 
 FIT_ROWS, BITS, RADIUS, LIMIT = 4096, 64, 18, 0.93
+TABLES, WIDE = 8, 16
 
 
 def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = 40, seed: int = 7) -> np.ndarray:
@@ -85,17 +87,19 @@ def rotations_of(vectors: DataFrame, rows: int = FIT_ROWS) -> dict[int, np.ndarr
 
 
 def candidates(classes: DataFrame, largest: int) -> DataFrame:
-    """Pairs (a, b) of nodes, a < b, of one label and dimension, within a bit in some chunk and RADIUS bits in all."""
+    """Pairs (a, b) of nodes, a < b, of one label and dimension, within a bit in some window, or two if windows are wide, and RADIUS bits in all."""
     width = min(22, max(8, math.ceil(math.log2(max(2, largest)))))
-    chunks = [(i, min(width, BITS - i)) for i in range(0, BITS, width)]
-    chunks = [c for c in chunks if c[1] >= 6] or chunks
     code = F.col("code")
-    cut = [F.struct(F.lit(t).alias("chunk"), F.shiftrightunsigned(code, at).bitwiseAND((1 << w) - 1).alias("value"), F.lit(w).alias("w")) for t, (at, w) in enumerate(chunks)]
-    index = classes.select("node", "label", "dim", "code", F.explode(F.array(*cut)).alias("c")).select("node", "label", "dim", "code", "c.*")
-    flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    probe = index.select(*(F.col(c).alias(f"p_{c}") for c in ("node", "label", "dim", "code", "chunk")), F.explode(flips).alias("flip"), "value").withColumn("p_value", F.col("value").bitwiseXOR(F.col("flip"))).drop("value", "flip")
+    # A window runs on from the code's end to its start.
+    cut = [F.struct(F.lit(t).alias("chunk"), F.shiftrightunsigned(code, at).bitwiseOR(F.shiftleft(code, (BITS - at) % BITS)).bitwiseAND((1 << width) - 1).alias("value")) for t, at in enumerate(range(0, BITS, BITS // TABLES))]
+    cut = classes.select("node", "label", "dim", "code", F.explode(F.array(*cut)).alias("c")).select("node", "label", "dim", "code", "c.*")
+    flips = F.array(*(F.lit(x).cast("long") for x in [0, *(1 << i for i in range(width))]))
+    probe = cut.withColumn("flip", F.explode(flips)).withColumn("value", F.col("value").bitwiseXOR(F.col("flip")))
+    index = probe if width >= WIDE else cut.withColumn("flip", F.lit(0).cast("long"))  # both sides a bit off: two bits between them
+    probe = probe.select(*(F.col(c).alias(f"p_{c}") for c in probe.columns))
     same = (F.col("label") == F.col("p_label")) & (F.col("dim") == F.col("p_dim")) & (F.col("chunk") == F.col("p_chunk")) & (F.col("value") == F.col("p_value"))
-    near = (F.col("node") < F.col("p_node")) & (F.bit_count(code.bitwiseXOR(F.col("p_code"))) <= RADIUS)
+    once = (F.col("flip") < F.col("p_flip")) | (F.col("p_flip") == 0) & (F.col("flip") == 0)  # of the ways a pair can meet in a table
+    near = (F.col("node") < F.col("p_node")) & once & (F.bit_count(code.bitwiseXOR(F.col("p_code"))) <= RADIUS)
     return index.join(probe, same & near).select(F.col("node").alias("a"), F.col("p_node").alias("b")).distinct()
 
 
