@@ -193,7 +193,7 @@ def rate(it: Batches, model: Model):
             s = fold(t)
             h = hits(automaton, s)
             found.append(h)
-            rows.append(features(h, s.count(" ") + 1 if h else 1))
+            rows.append(features(h, len(s.split())))
         yield b, score(model.curve, np.array(rows).reshape(-1, 5)), found
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from folioscan.llm import itq_dedup
+from folioscan.llm import itq_dedup, toxicity
 from folioscan.llm._shared import as_long, source
 
 DATA = "/root/testdata/sf0.1"
@@ -26,3 +26,12 @@ def test_candidates_recall_at_any_width(spark, largest):
         assert all(r.b == r.a + 1 and r.a % 2 == 0 for r in got) and len(got) == len(set(got))
         print(largest, cosine, len(got) / 1000)
         assert len(got) >= 970
+
+
+def test_toxicity_padding_is_no_words(spark):
+    """Blanks and marks between words don't lower the score that the curve was fitted for."""
+    plain = "you total idiot go away " + "and so on " * 10
+    padded = plain.replace(" ", " |  -- \t\n ")
+    df = spark.createDataFrame([(1, plain), (2, padded)], "doc_id long, text string")
+    a, b = (r.score for r in toxicity.score_documents(df, toxicity.Model()).orderBy("doc_id").collect())
+    assert a == b
