@@ -30,6 +30,8 @@ BASE = {
 }
 # Proposals: email written out; a card within digits that ran together; an international number within such a run; a national number.
 WRITTEN = re.compile(r"[A-Za-z0-9._%+-]+\s?[(\[{]\s?at\s?[)\]}]\s?[A-Za-z0-9-]+(?:\s?(?:[(\[{]\s?dot\s?[)\]}]|\.)\s?[A-Za-z0-9-]+)+", re.I)
+#: What every match of WRITTEN has.
+BRACKETED = re.compile(r"[(\[{]\s?at", re.I)
 CARD = re.compile(r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])|(?<![0-9])3[0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])")
 INTERNATIONAL = re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")
 NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
@@ -88,7 +90,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def proposals(text: str, base: list) -> list[tuple[int, int, int]]:
     """Further spans that might be personal data, clear of base spans of their kind and of each other."""
     taken, out = [(s, e, k) for k, s, e in base], []
-    found = [(0, m) for m in WRITTEN.finditer(text)] if "at" in text and re.search(r"[(\[{]\s?at", text, re.I) else []
+    found = [(0, m) for m in WRITTEN.finditer(text)] if BRACKETED.search(text) else []
     found += [(2, m) for m in CARD.finditer(text)] + [(3, m) for m in INTERNATIONAL.finditer(text)] + [(3, m) for m in NATIONAL.finditer(text)]
     for k, m in sorted(found, key=lambda x: (x[1].start(), x[0])):
         s, e = m.span()
@@ -174,7 +176,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             rows = []
             for t in strings(b):
                 base = base_spans(t) if re.search("[0-9@]", t) else []
-                more = proposals(t, base) if re.search("[0-9]|[(\\[{] ?[aA][tT]", t) else []
+                more = proposals(t, base) if re.search("[0-9]", t) or BRACKETED.search(t) else []
                 marked = [(k, votes(t, k, s, e)) for k, s, e in base + more]
                 count = [sum(x[0] == k for x in base) for k in range(len(KINDS))]
                 rows.append((joined(base), ",".join(f"{k}:{s}:{e}:{v[1]}" for (k, s, e), v in zip(more, marked[len(base) :])), ",".join(f"{k}{v}" for k, v in marked), *count))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from folioscan.llm import itq_dedup, toxicity
+from folioscan.llm import itq_dedup, pii, toxicity
 from folioscan.llm._shared import as_long, source
 
 DATA = "/root/testdata/sf0.1"
@@ -35,3 +35,12 @@ def test_toxicity_padding_is_no_words(spark):
     df = spark.createDataFrame([(1, plain), (2, padded)], "doc_id long, text string")
     a, b = (r.score for r in toxicity.score_documents(df, toxicity.Model()).orderBy("doc_id").collect())
     assert a == b
+
+
+def test_written_emails_in_any_case(spark):
+    """Neither the case of (at) nor the white space in its bracket hides a written-out address."""
+    texts = ["JOHN (AT) EXAMPLE (DOT) COM", "john (\tat) example (dot) com", "john [\nAT] example.com"]
+    assert [pii.proposals(t, []) for t in texts] == [[(0, 0, len(t))] for t in texts]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 20)], "doc_id long, text string")
+    got = pii.find_pii(docs).collect()
+    assert {r.doc_id % 3 for r in got if r.spans.startswith("email:0:")} == {0, 1, 2}
