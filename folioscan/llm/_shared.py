@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 #: Rows of one long column that may be broadcast (about 32 MB); a longer list is joined by shuffling.
 BROADCAST_ROWS = 4_000_000
+#: Folders of tables that this process wrote and nobody has deleted.
+written: list[str] = []
 #: Rows of whole texts that pass to a Python worker at once.
-BATCH_ROWS = 2000
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,13 +40,37 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/folioscan/{name}-{uuid.uuid4().hex}"
     bound_batches(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    written.append(path)
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables of table() that nothing reads any more: what was made of them is a table itself."""
+    for t in tables:
+        remove(t.sparkSession, t.folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in written:
+        written.remove(path)
+
+
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes the tables at paths. For a caller that has written what it made of them."""
+    for path in paths:
+        remove(spark, path)
 
 
 def bound_batches(spark: SparkSession) -> None:
     """Fewer rows in an Arrow batch: they hold whole texts, and both the JVM and the Python worker hold a batch several times."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != str(BATCH_BYTES):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,12 +140,15 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     def step(e: DataFrame, both: bool) -> DataFrame:
         pairs = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else e
-        least = sized(table(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least"))
+        found = table(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = sized(found)
         near = pairs.where("v > u") if both else pairs
         out = near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not both:
             out = out.union(least.select("u", F.col("m").alias("v")))
-        return table(out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
+        out = table(out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
+        free(found, e)
+        return out
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

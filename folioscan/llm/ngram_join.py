@@ -1,17 +1,18 @@
 """Exact Jaccard self-join on word shingles by prefix filters under several global token orders.
 
-Two sets with Jaccard >= num/den share a token in their prefixes (n - ceil(t n) + 1 tokens) under *any* global order of
-the tokens, so candidates may be asked to pass under each of several orders. The first order puts shingles of rare words
-first and finds the candidates; the others are the hash values upwards and downwards. Under each, the prefixes of two
-linked sets must share a number of tokens that follows from their sizes, most of them, which leaves few pairs to verify.
-Word frequencies are counted over all documents; words below a fixed rate count as equally rare, so the list of frequent
-words stays bounded however many documents there are.
-
-Groups of near copies would make all pairs of a group candidates. Rows with equal sets are one class first. Star links to
-one hub for each min-hash band, tested loosely on the prefixes alone, gather near copies into clusters; any clustering
-would do. Within a cluster all pairs are compared by one matrix product for each pair of blocks, which emits a spanning
-star of each linked part, not pairs. The prefix join only looks for pairs of different clusters, and joins the clusters of
-those that pass all orders. Between them, no link between components is lost.
+Two sets with Jaccard >= num/den share tokens in their prefixes under *any* global order of the tokens, so candidates are
+asked to pass under each of several orders: shingles of rare words first, and the hash values upwards and downwards. A
+prefix is longer than one shared token needs (by EXTRA of the tokens that may differ), so that linked sets share a known
+number of tokens in it. Word frequencies are counted over all documents; words below a fixed rate count as equally rare,
+so the list of frequent words stays bounded however many documents there are.
+
+The first order's filter works before any pair exists: a prefix token that only one set has is dropped, and a set that is
+left with fewer tokens than any link needs is out. Of what is left, sets that share at least half their prefix with the
+first holder of its tokens (the hub) form clusters of near copies; any clustering would do. Between clusters, pairs must
+share a token early enough in both prefixes, with enough shared tokens on either side; then all orders are intersected.
+What passes joins its clusters. Within a cluster, sets are compared by matrix products in blocks: each block with itself
+and the cluster's hub first, then what did not join the cluster's largest part with all blocks. Parts are put out as stars,
+not pairs. No link between different sets is lost.
 """
 
 from __future__ import annotations
@@ -21,22 +22,22 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Batches, as_long, batches, by_rows, connected_components, ddl, emit, only, row_key, sized, table, texts
+from ._shared import Batches, as_long, batches, by_rows, connected_components, ddl, emit, free, only, row_key, sized, table, texts
 
 U = np.uint64
 #: Odd multipliers, one for each word of a shingle and then for each hash of a band or an order.
 ODD = np.random.RandomState(20240501).randint(0, 2**63 - 1, 64, dtype=np.int64).astype(U) * U(2) + U(1)
 #: A word in fewer than this share of the documents counts as rare.
 RARE = 0.0002
-BANDS, BAND_WIDTH = 6, 2
-#: Sets of a cluster that are held in one place.
-BLOCK = 1000
-#: Rows with a prefix that may be broadcast (about 10 MB).
-WIDE_ROWS = 15_000
-PREFIXES = ("rare", "upward", "downward")
+#: A prefix has so many more tokens than one shared token needs: 1 / EXTRA of those that may differ.
+EXTRA = 4
+#: Sets, and tokens, of a cluster that are held in one block; columns of a matrix that are held at once.
+BLOCK, BLOCK_TOKENS, COLUMNS = 1000, 1_000_000, 4096
+#: Rounds of dropping sets with too few shared prefix tokens.
+ROUNDS = 2
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,10 +46,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def short(x: np.ndarray) -> np.ndarray:
-    return (x >> U(16)).astype(np.uint32).view(np.int32)
-
-
 def listed(rows: list, kind: pa.DataType) -> pa.Array:
     """A list column from arrays, in one piece."""
     ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
@@ -88,7 +85,17 @@ def least_set(num: int, den: int) -> int:
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
-    return n - -(-num * n // den) + 1
+    return n - -(-num * n // den) + 1 + n * (den - num) // (EXTRA * den)
+
+
+def prefix_of(n: str, num: int, den: int) -> Column:
+    """prefix_length() of a column."""
+    return F.expr(f"{n} - (({num}L * {n} + {den - 1}) div {den}) + 1 + ({n} * {den - num}L div {EXTRA * den})")
+
+
+def overlap_of(n: str, m: str, num: int, den: int) -> Column:
+    """Tokens that linked sets of n and m tokens share at least."""
+    return F.expr(f"({num}L * ({n} + {m}) + {num + den - 1}) div {num + den}")
 
 
 def common_words(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,9 +131,8 @@ def common_words(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, num: int, den: int) -> DataFrame:
-    """One row per document: doc_id, row_key, n, node (hash of the whole set, its class), bands, and its prefix under each order; but for the first the tokens are cut to 32 bits."""
-    kinds = dict(zip(PREFIXES, (pa.int64(), pa.int32(), pa.int32())))
-    out = batches({"doc_id": pa.int64(), "row_key": pa.int64(), "n": pa.int32(), "node": pa.int64(), "bands": pa.list_(pa.int64())} | {x: pa.list_(k) for x, k in kinds.items()})
+    """One row per document: doc_id, row_key, row (its number), n, node (hash of the whole set, its class), rare: the prefix of rare tokens, empty for sets that only link with equal ones."""
+    out = batches({"doc_id": pa.int64(), "row_key": pa.int64(), "n": pa.int32(), "node": pa.int64(), "rare": pa.list_(pa.int64())})
     least, words, weights = least_set(num, den), *common
 
     def run(it: Batches) -> Batches:
@@ -137,10 +143,8 @@ def signatures(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, n
                 h = cache.of(x)
                 s, first = shingles(h, k)
                 n = len(s)
-                row = [n, as_long(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], U))[0] if n else None, [], [], [], []]
+                row = [n, as_long(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], U))[0] if n else None, []]
                 if n >= least:
-                    mins = np.array([(s * a).min() for a in ODD[8 : 8 + BANDS * BAND_WIDTH]], U).reshape(BANDS, BAND_WIDTH)
-                    row[2] = as_long(mix((mins * ODD[1 : 1 + BAND_WIDTH]).sum(1, dtype=U) + np.arange(BANDS, dtype=U)))
                     w = np.zeros(len(h))
                     if len(words):
                         at = np.minimum(np.searchsorted(words, h), len(words) - 1)
@@ -149,18 +153,17 @@ def signatures(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, n
                     width = min(k, len(h))
                     # Rare first; the sort is stable, so ties go by hash.
                     order = np.argsort(np.round((c[width:] - c[:-width])[first] * 100).astype(np.int32), kind="stable")
-                    p = prefix_length(n, num, den)
-                    row[3:] = as_long(s[order[:p]]), short(s[:p]), short(s[n - p :])
+                    row[2] = as_long(s[order[: prefix_length(n, num, den)]])
                 rows.append(row)
             if rows:
-                n, node, *lists = map(list, zip(*rows))
-                yield emit(out, b.column("doc_id"), b.column("row_key"), n, node, *(listed(x, out.field(i + 4).type) for i, x in enumerate(lists)))
+                n, node, rare = map(list, zip(*rows))
+                yield emit(out, b.column("doc_id"), b.column("row_key"), n, node, listed(rare, out.field(4).type))
 
-    return docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("row_key")).mapInArrow(run, ddl(out))
+    return docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("row_key")).mapInArrow(run, ddl(out)).withColumn("row", F.monotonically_increasing_id())
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, tokens) of the wanted classes, from the whole text of one row of each."""
+    """(node, n, tokens) of the wanted classes, from the whole text of one row of each. tokens: the set's, in order, as bytes."""
     wanted = table(only(classes.select("node", "row_key"), nodes, "node").select("row_key"), "wanted")
     out = batches({"node": pa.int64(), "tokens": pa.binary()})
 
@@ -172,7 +175,8 @@ def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> Da
                 yield emit(out, as_long(np.fromiter(map(xxhash.xxh3_64_intdigest, sets), U, len(sets))), sets)
 
     some = only(docs.select("text", row_key().alias("row_key")), wanted, "row_key").select("text")
-    return table(only(some.mapInArrow(run, ddl(out)), nodes, "node").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    found = only(some.mapInArrow(run, ddl(out)), nodes, "node").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return table(found.select("node", F.expr("cast(length(tokens) div 8 as int)").alias("n"), "tokens"), "sets")
 
 
 def linked_parts(sets: list[np.ndarray], num: int, den: int) -> list[int]:
@@ -181,10 +185,17 @@ def linked_parts(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     tokens, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     again = count > 1  # what only one set has is in no intersection
     at = np.where(again, np.cumsum(again) - 1, -1)[column]
-    row = np.repeat(np.arange(len(sets)), n)
-    x = np.zeros((len(sets), max(1, int(again.sum()))), np.float32)
-    x[row[at >= 0], at[at >= 0]] = 1
-    same = (x @ x.T).astype(np.int64)
+    row, width = np.repeat(np.arange(len(sets)), n)[at >= 0], int(again.sum())
+    at = at[at >= 0]
+    by = np.argsort(at, kind="stable")
+    row, at = row[by], at[by]
+    same = np.zeros((len(sets), len(sets)), np.float32)
+    for c in range(0, width, COLUMNS):  # a stretch of tokens at a time
+        i, j = np.searchsorted(at, (c, c + COLUMNS))
+        x = np.zeros((len(sets), min(COLUMNS, width - c)), np.float32)
+        x[row[i:j], at[i:j] - c] = 1
+        same += x @ x.T
+    same = same.astype(np.int64)
     near = den * same >= num * (n[:, None] + n[None] - same)
     part = np.full(len(sets), -1)
     for i in range(len(sets)):
@@ -197,19 +208,8 @@ def linked_parts(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     return part.tolist()
 
 
-def links_within(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, component) of clusters -> links (u, v) that connect what pairs within a cluster connect.
-
-    A cluster's sets are cut into blocks of about BLOCK, and each pair of blocks is compared in one place; small clusters
-    share places.
-    """
-    blocks = table(clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-    places = max(1, -(-clusters.count() // (BLOCK // 4)))
-    of = clusters.join(sized(blocks), "component").select(F.col("id").alias("node"), "component", "blocks", F.pmod(F.xxhash64("component"), F.lit(places)).alias("place"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    sent = of.select("node", "component", "place", "block", F.explode(other).alias("other"))
-    sent = sent.select("node", "component", "place", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    sent = sets.join(sized(table(sent, "sent")), "node").select("place", "i", "j", "component", "node", "tokens")
+def links_of(sent: DataFrame, num: int, den: int) -> DataFrame:
+    """(place, i, j, component, node, tokens) -> links (u, v) that connect, in each group by place, i and j, what pairs of a component connect."""
     links = batches({"u": pa.int64(), "v": pa.int64()})
 
     def meet(group):
@@ -225,61 +225,104 @@ def links_within(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> Da
     return sent.groupBy("place", "i", "j").applyInArrow(meet, ddl(links))
 
 
-def near_hubs(classes: DataFrame) -> DataFrame:
-    """Edges (u, v) of each class to the hub of each of its bands, where their upward prefixes agree by half."""
-    b = classes.select("node", "n", F.posexplode("bands").alias("band", "value"))
-    hubs = b.groupBy("band", "value").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    hubs = table(hubs.select("band", "value", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-    near = b.join(sized(hubs), ["band", "value"]).where(F.col("node") != F.col("hub")).where(4 * F.least("n", "hub_n") >= 3 * F.greatest("n", "hub_n"))
-    pairs = table(near.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "star_pairs")
-    ends = table(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "ends")
-    c = sized(table(only(classes.select("node", "upward"), ends, "node"), "prefixes"), WIDE_ROWS)
-    for side in ("u", "v"):
-        pairs = pairs.join(c.select(F.col("node").alias(side), F.col("upward").alias(f"{side}_p")), side)
-    return pairs.where(F.size(F.array_intersect("u_p", "v_p")) * 2 >= F.least(F.size("u_p"), F.size("v_p"))).select("u", "v")
-
-
-def screen(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that may be linked by their sizes and by the tokens their prefixes share under every order.
+def links_within(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, component) of clusters and (node, n, tokens) of their sets -> links (u, v) that connect what pairs within a cluster connect.
 
-    Of two linked sets, the i-th shared token is at most (set - overlap) places further back in either, so prefixes of
-    lengths p, q share at least min(p - n + overlap, q - m + overlap) tokens.
+    A cluster is cut into blocks of about BLOCK sets or BLOCK_TOKENS tokens. Each block is compared with itself and with
+    the set its cluster is named after; small clusters share places. Of a cluster with more blocks, sets that are not
+    linked, by then, with its largest part are compared with every block.
+    """
+    own = clusters.withColumnRenamed("id", "node").join(sets.select("node", "n"), "node")
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
+    blocks = table(own.groupBy("component").agg(size.alias("blocks"), F.sum("n").alias("tokens")), "blocks")
+    places = max(1, (blocks.agg(F.sum("tokens")).first()[0] or 0) // (BLOCK_TOKENS // 4))
+    of = clusters.join(sized(blocks), "component").select(F.col("id").alias("node"), "component", "blocks", F.pmod(F.xxhash64("component"), F.lit(places)).alias("place"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    of = table(of, "blocked")
+    hubs = of.where("node = component and blocks > 1").select("node", "component", "place", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"), "block").where("to <> block")
+    first = of.select("node", "component", "place", F.col("block").alias("i")).union(hubs.select("node", "component", "place", "to"))
+    tokens = sets.select("node", "tokens")
+    links = table(links_of(tokens.join(first, "node").select("place", "i", F.col("i").alias("j"), "component", "node", "tokens"), num, den), "links")
+    many = table(of.where("blocks > 1"), "many")
+    if many.isEmpty():
+        return links
+    parts = sized(connected_components(links).select(F.col("id").alias("node"), F.col("component").alias("part")))
+    many = table(many.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "parted")
+    main = many.groupBy("component", "part").agg(F.count("*").alias("c")).groupBy("component").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
+    many = table(many.join(sized(table(main, "main")), "component").withColumn("open", F.col("part") != F.col("main")), "open")
+    left = table(many.where("open").groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups")), "groups")
+    many = many.join(sized(left), "component")
+    # Open sets go to all blocks, in groups; all others go to all groups.
+    every, group = F.sequence(F.lit(0), F.col("blocks") - 1), F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups")).cast("int")
+    out = many.where("open").select("node", "component", group.alias("i"), F.explode(every).alias("j"))
+    back = many.select("node", "component", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), F.col("block").alias("j"))
+    sent = out.union(back).distinct().withColumn("place", F.col("component"))
+    return links.union(table(links_of(tokens.join(sent, "node").select("place", "i", "j", "component", "node", "tokens"), num, den), "links"))
+
+
+def shared_tokens(wide: DataFrame) -> DataFrame:
+    """Rows (node, n, pos, token, hub) of prefix tokens that more than one set has. hub: (node, n) of the first set that has the token."""
+    rows = wide.select("node", "n", F.posexplode("rare").alias("pos", "token"))
+    # Holders meet on the map side first, so a token that a third of all sets have is no burden; then only shared ones have a row.
+    found = rows.groupBy("token").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last")
+    shared = table(found.select("token", "hub"), "shared")
+    out = table(rows.join(shared, "token"), "rows")
+    free(shared)
+    return out
+
+
+def near_hubs(shares: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (u, v) of sets to hubs that hold at least half of either's prefix. shares(node, n, hub, k): k shared prefix tokens have that hub."""
+    near = shares.where(F.col("node") != F.col("hub.node")).where(F.col("k") * 2 >= F.least(prefix_of("n", num, den), prefix_of("hub.n", num, den)))
+    return near.select(F.col("node").alias("u"), F.col("hub.node").alias("v"))
+
+
+def prefix_pairs(rows: DataFrame, counts: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets of different clusters that the order of rare tokens lets pass. rows: shared_tokens(); counts(node, n, c): how many of them a set has.
+
+    Linked sets have sizes n, m within the limit and share at least s = min(prefix(n) - n, prefix(m) - m) + overlap tokens of
+    their prefixes; the first shared one has n - overlap tokens before it at most, and m - overlap. So a set with fewer
+    tokens that sets of other clusters have, than any partner's size asks for, is in no pair.
     """
-    for x in PREFIXES[::-1]:
-        ends = table(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
-        c = sized(table(only(classes.select("node", "n", x), ends, "node"), "prefixes"), WIDE_ROWS)
-        for side in ("a", "b"):
-            pairs = pairs.join(c.select(F.col("node").alias(side), *(F.col(y).alias(f"{side}_{y}") for y in ("n", x))), side)
-        n, m = F.col("a_n"), F.col("b_n")
-        overlap = F.ceil(F.lit(num) * (n + m) / F.lit(num + den) - F.lit(1e-6))
-        keep = F.lit(den) * F.least(n, m) >= F.lit(num) * F.greatest(n, m)
-        # Tokens of one set that agree in 32 bits would count once: one is allowed for.
-        need = F.least(F.size(f"a_{x}") - n, F.size(f"b_{x}") - m) + overlap - 1
-        keep = keep & (F.size(F.array_intersect(f"a_{x}", f"b_{x}")) >= need)
-        pairs = table(pairs.where(keep).select("a", "b"), "screened")
-    return pairs
-
-
-def prefix_pairs(classes: DataFrame, provisional: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of classes in different components that share a token in their prefixes of rare tokens."""
-    at = classes.join(sized(provisional).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = at.select("node", "n", "component", F.posexplode("rare").alias("pos", "token"))
-    # Tokens that only one component has are done with.
-    mixed = table(rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "mixed")
-    rows = table(only(rows, mixed, "token"), "rows")
-    # Of a token's rows, those of its most common component need no partner among themselves.
-    main = table(rows.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main")), "main")
-    rows = table(rows.join(sized(main), "token").withColumn("other", F.col("component") != F.col("main")).drop("main"), "marked")
-    x = rows.where("other").select("token", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "component", "pos")))
-    need = F.ceil(F.lit(float(num)) * (F.col("n") + F.col("n_x")) / F.lit(float(num + den)) - F.lit(1e-6))
-    reach = F.least("pos", "pos_x") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n_x") - F.col("pos_x") - 1)
-    pairs = rows.join(x, "token").where(
-        (F.col("component") != F.col("component_x")) & (~F.col("other") | (F.col("node") < F.col("node_x")))
-        & (den * F.least("n", "n_x") >= num * F.greatest("n", "n_x")) & (reach >= need)
+    fewest = F.expr(f"((({num}L * n + {den - 1}) div {den}) * {den - num}L div {EXTRA * den}) + 1")
+    own = clusters.withColumnRenamed("id", "node")
+    able = table(counts.where(F.col("c") >= fewest).join(own, "node", "left").select("node", "c", F.coalesce("component", "node").alias("component")), "able")
+    left = table(rows.select("node", "n", "pos", "token").join(sized(able), "node"), "able_rows")
+    for _ in range(ROUNDS):
+        mixed = table(left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "mixed")
+        kept = table(left.drop("c").join(mixed, "token", "left_semi"), "kept")
+        before, left = left, table(kept.join(kept.groupBy("node").agg(F.count("*").alias("c")), "node").where(F.col("c") >= fewest), "able_rows")
+        free(before, mixed, kept)
+    # Of a token's rows, those of its most common cluster need no partner among themselves.
+    main = left.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    left = table(left.join(main, "token").withColumn("other", F.col("component") != F.col("main")).drop("main"), "marked")
+    x = left.where("other").select("token", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "component", "pos", "c")))
+    overlap = overlap_of("n", "n_x", num, den)
+    enough = F.least(prefix_of("n", num, den) - F.col("n"), prefix_of("n_x", num, den) - F.col("n_x")) + overlap
+    pairs = left.join(x, "token").where(
+        (F.col("component") != F.col("component_x")) & (~F.col("other") | (F.col("node") < F.col("node_x"))) & (den * F.least("n", "n_x") >= num * F.greatest("n", "n_x"))
+        & (F.least("c", "c_x") >= enough) & (F.col("pos") <= F.col("n") - overlap) & (F.col("pos_x") <= F.col("n_x") - overlap)
     )
     return pairs.select(F.greatest("node", "node_x").alias("a"), F.least("node", "node_x").alias("b")).distinct()
 
 
+def screen(pairs: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose prefixes share enough tokens. prefixes(node, n, prefix): under one order, as numbers or as their bytes."""
+    for side in ("a", "b"):
+        pairs = pairs.join(prefixes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("prefix").alias(f"{side}_p")), side)
+    out = batches({"a": pa.int64(), "b": pa.int64()})
+
+    def run(it: Batches) -> Batches:
+        for x in it:
+            keep = []
+            for n, m, p, q in zip(*(x.column(c).to_pylist() for c in ("a_n", "b_n", "a_p", "b_p"))):
+                p, q = (np.frombuffer(t, np.int64) if isinstance(t, bytes) else np.array(t, np.int64) for t in (p, q))
+                overlap = -(-num * (n + m) // (num + den))
+                keep.append(len(np.intersect1d(p, q, assume_unique=True)) >= min(len(p) - n, len(q) - m) + overlap)
+            yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return table(pairs.select("a", "b", "a_n", "b_n", "a_p", "b_p").mapInArrow(run, ddl(out)), "screened")
+
+
 def near_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Components of documents linked by Jaccard >= num/den of their sets of k-word shingles.
 
@@ -291,15 +334,26 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     least = least_set(num, den)
     total = docs.count()
     each = table(signatures(docs, common_words(docs, total), k, num, den), "signatures")
-    firsts = [F.first(c).alias(c) for c in ("n", "row_key", "bands", *PREFIXES)]
-    classes = table(each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), *firsts), "classes")
-    wide = classes.where(F.col("n") >= least)
-    clusters = table(connected_components(near_hubs(wide)), "clusters")
-    across = screen(table(prefix_pairs(wide, clusters, num, den), "prefix_pairs"), wide, num, den)
+    # Of equal sets the first row stands for all; prefixes, the bulk of the rows, are not shuffled for that.
+    classes = table(each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.min_by("row_key", "row").alias("row_key"), F.count("*").alias("c"), F.first("n").alias("n")), "classes")
+    again = each.select("node", "row").join(sized(table(classes.where("c > 1").select(F.col("node").alias("c_node"), F.col("row").alias("c_row")), "repeated")), (F.col("node") == F.col("c_node")) & (F.col("row") != F.col("c_row")), "left_semi")
+    wide = each.where(F.col("n") >= least).join(sized(table(again.select("row"), "again")), "row", "left_anti")
+    rows = shared_tokens(wide)
+    shares = table(rows.groupBy("node", "n", "hub").agg(F.count("*").alias("k")), "shares")
+    clusters = table(connected_components(near_hubs(shares, num, den)), "clusters")
+    pairs = table(prefix_pairs(rows, shares.groupBy("node", "n").agg(F.sum("k").alias("c")), clusters, num, den), "prefix_pairs")
+    free(rows, shares)
+    ends = table(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+    sets = sets_of(docs, classes, table(clusters.select(F.col("id").alias("node")).union(ends).distinct(), "nodes"), k)
+    # The orders meet: what the rare tokens let pass must pass upwards and downwards too.
+    size = prefix_of("n", num, den).cast("int") * 8
+    pairs = screen(pairs, only(wide.select("node", "n", F.col("rare").alias("prefix")), ends, "node"), num, den)
+    pairs = screen(pairs, only(sets, ends, "node").select("node", "n", F.substring("tokens", F.lit(1), size).alias("prefix")), num, den)
+    pairs = screen(pairs, only(sets, ends, "node").select("node", "n", F.substring("tokens", F.col("n") * 8 - size + 1, size).alias("prefix")), num, den)
     # What passes joins clusters, so that every pair left to compare lies within one.
-    clusters = table(connected_components(clusters.select(F.col("id").alias("u"), F.col("component").alias("v")).union(across.select("a", "b"))), "clusters")
-    sets = sets_of(docs, wide, table(clusters.select(F.col("id").alias("node")), "nodes"), k)
+    clusters = table(connected_components(clusters.select(F.col("id").alias("u"), F.col("component").alias("v")).union(pairs.select("a", "b"))), "clusters")
     links = table(links_within(clusters, sets, num, den), "links")
+    free(sets)
     final = sized(table(connected_components(links), "components"))
     names = classes.select("node", "rep").join(final.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = table(names, "names")

@@ -115,6 +115,44 @@ def test_near_groups_on_chains(spark, k, num):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(docs, k, num, 100).collect()} == near_brute(rows, k, num, 100)
 
 
+def test_near_groups_over_many_blocks(spark, monkeypatch):
+    """A cluster of near copies that is cut into many blocks, some of its sets far from its hub."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 16)
+    rng, words = random.Random(11), ["w%d" % i for i in range(300)]
+    base, rows = [rng.choice(words) for _ in range(150)], []
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.choice((1, 2, 3, 5, 8))):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(docs, 5, 80, 100).collect()} == near_brute(rows, 5, 80, 100)
+
+
+@pytest.mark.parametrize("num,den", [(80, 100), (90, 100), (3, 5)])
+def test_prefix_bounds(num, den):
+    """Linked sets share what the filters ask for, under any order of their tokens."""
+    rng = random.Random(num)
+    for _ in range(400):
+        n, m = rng.randint(ngram_join.least_set(num, den), 90), 0
+        while not num * max(n, m) <= den * min(n, m):
+            m = rng.randint(1, 120)
+        overlap = -(-num * (n + m) // (num + den))
+        if overlap > min(n, m):
+            continue
+        order = list(range(n + m - overlap))
+        rng.shuffle(order)
+        worst = rng.random() < 0.5  # what only one set has comes first
+        ids = order if not worst else sorted(order, key=lambda t: t < overlap)
+        a, b = ([t for t in ids if t < overlap or t - overlap < n - overlap], [t for t in ids if t < overlap or t - overlap >= n - overlap])
+        assert len(a) == n and len(b) == m and den * overlap >= num * (n + m - overlap)
+        p, q = ngram_join.prefix_length(n, num, den), ngram_join.prefix_length(m, num, den)
+        shared = set(a[:p]) & set(b[:q])
+        assert len(shared) >= min(p - n, q - m) + overlap >= (-(-num * n // den) * (den - num)) // (ngram_join.EXTRA * den) + 1
+        assert p <= n and min(map(a.index, shared)) <= n - overlap and min(map(b.index, shared)) <= m - overlap
+
+
 def test_near_edge_cases(spark, odd, none, shuffled):
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.near_groups(odd, 3, 90, 100).collect())
     assert got == [("1", 0, 1), ("2", 0, 2), ("4", 1, 4), ("5", 2, 5), ("5", 2, 5), ("6", 2, 5), ("7", 1, 7), ("8", 1, 8), ("9", 1, 9), ("None", 3, None)]
