@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections import defaultdict
 
 import numpy as np
@@ -28,8 +29,13 @@ BASE = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+# Where the base patterns can begin, so that a search takes time in proportion to the text: a match ends with the digits
+# or the name it ends in, so no digit run is entered twice, and an address's name ends at its sign.
+IP_SCAN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+NAME = string.ascii_letters + string.digits + "._%+-"
 # Proposals: email written out; a card within digits that ran together; an international number within such a run; a national number.
-WRITTEN = re.compile(r"[A-Za-z0-9._%+-]+\s?[(\[{]\s?at\s?[)\]}]\s?[A-Za-z0-9-]+(?:\s?(?:[(\[{]\s?dot\s?[)\]}]|\.)\s?[A-Za-z0-9-]+)+", re.I)
+WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?[(\[{]\s?at\s?[)\]}]\s?[A-Za-z0-9-]++(?:\s?(?:[(\[{]\s?dot\s?[)\]}]|\.)\s?[A-Za-z0-9-]++)+", re.I)
 #: What every match of WRITTEN has.
 BRACKETED = re.compile(r"[(\[{]\s?at", re.I)
 CARD = re.compile(r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])|(?<![0-9])3[0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])")
@@ -70,33 +76,46 @@ def digits_of(s: str) -> str:
 
 def passes(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in s.split("."))
+        return all(len(d) <= 3 and int(d or "0") <= 255 for d in (x.lstrip("0") for x in s.split(".")))
     if kind == "card":
         d = digits_of(s)
         return 13 <= len(d) <= 19 and luhn(d)
     return kind == "email" or 9 <= len(digits_of(s)) <= 15
 
 
+def emails(text: str):
+    """(start, end) of addresses, leftmost non-overlapping. Each sign has one name before it at most, back to the address before."""
+    free = 0
+    for m in HOST.finditer(text):
+        at = max(free, text.rfind("@", 0, m.start()) + 1)
+        name = text[at : m.start()]
+        start = at + len(name.rstrip(NAME))
+        if start < m.start():
+            free = m.end()
+            yield start, free
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of the base patterns, leftmost non-overlapping for each kind; failing matches are dropped."""
-    out = []
-    for k, kind in enumerate(KINDS):
-        if (kind == "email" and "@" not in text) or (kind == "phone" and "+" not in text):
-            continue
-        out += [(k, m.start(), m.end()) for m in BASE[kind].finditer(text) if passes(kind, m.group())]
+    out = [(0, s, e) for s, e in emails(text)] if "@" in text else []
+    out += [(1, *m.span()) for m in IP_SCAN.finditer(text) if passes("ip", m.group())]
+    out += [(2, *m.span()) for m in BASE["card"].finditer(text) if passes("card", m.group())]
+    if "+" in text:
+        out += [(3, *m.span()) for m in BASE["phone"].finditer(text) if passes("phone", m.group())]
     return out
 
 
 def proposals(text: str, base: list) -> list[tuple[int, int, int]]:
-    """Further spans that might be personal data, clear of base spans of their kind and of each other."""
-    taken, out = [(s, e, k) for k, s, e in base], []
-    found = [(0, m) for m in WRITTEN.finditer(text)] if BRACKETED.search(text) else []
-    found += [(2, m) for m in CARD.finditer(text)] + [(3, m) for m in INTERNATIONAL.finditer(text)] + [(3, m) for m in NATIONAL.finditer(text)]
-    for k, m in sorted(found, key=lambda x: (x[1].start(), x[0])):
-        s, e = m.span()
-        if not any(a < e and s < b for a, b, _ in taken):
-            taken.append((s, e, k))
+    """Further spans that might be personal data, clear of all base spans and of each other."""
+    found = [(0, m.span()) for m in WRITTEN.finditer(text)] if BRACKETED.search(text) else []
+    found += [(2, m.span()) for m in CARD.finditer(text)] + [(3, m.span()) for m in INTERNATIONAL.finditer(text)] + [(3, m.span()) for m in NATIONAL.finditer(text)]
+    taken, i, free, out = sorted((s, e) for _, s, e in base), 0, 0, []
+    for k, (s, e) in sorted(found, key=lambda x: (x[1][0], x[0])):
+        while i < len(taken) and taken[i][0] < e:  # base spans that begin before this one's end; those before it end by then or overlap
+            free, i = max(free, taken[i][1]), i + 1
+        if s >= free:
             out.append((k, s, e))
+            free = e
     return out
 
 
