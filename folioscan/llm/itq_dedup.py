@@ -54,8 +54,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def encode(vectors: DataFrame, rotations: dict[int, np.ndarray]) -> DataFrame:
-    """One row per vector: vec_id, label, dim, node (hash of label and vector), code. node is null for vectors that link with nothing."""
-    out = batches({"vec_id": pa.int64(), "label": pa.int64(), "dim": pa.int32(), "node": pa.int64(), "code": pa.int64(), "unit": pa.binary()})
+    """One row per vector: vec_id, row (its number), label, dim, same (128 bits that tell label and vector), code, unit. same is null for vectors that link with nothing."""
+    out = batches({"vec_id": pa.int64(), "label": pa.int64(), "dim": pa.int32(), "same": pa.binary(), "code": pa.int64(), "unit": pa.binary()})
 
     def run(it: Batches) -> Batches:
         for b in it:
@@ -66,12 +66,12 @@ def encode(vectors: DataFrame, rotations: dict[int, np.ndarray]) -> DataFrame:
                     continue
                 u = unit(x)
                 code = np.packbits(u @ rotations[len(x)] >= 0).view(">u8").astype(np.uint64)
-                node = xxhash.xxh3_64_intdigest((x + 0.0).tobytes(), seed=hash(label) & 0xFFFFFFFF)
-                rows.append((len(x), as_long(np.array([node], np.uint64))[0], as_long(code)[0], u.tobytes()))
+                same = xxhash.xxh3_128_digest(np.int64(label).tobytes() + (x + 0.0).tobytes())
+                rows.append((len(x), same, as_long(code)[0], u.tobytes()))
             if rows:
                 yield emit(out, b.column("vec_id"), b.column("label"), *map(list, zip(*rows)))
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(run, ddl(out))
+    return vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(run, ddl(out)).withColumn("row", F.monotonically_increasing_id())
 
 
 def rotations_of(vectors: DataFrame, rows: int = FIT_ROWS) -> dict[int, np.ndarray]:
@@ -125,8 +125,9 @@ def link_vectors(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     within itself. Rows that repeat are rows of their own. A null vec_id never names a component unless all of it are null.
     """
     each = table(encode(vectors, rotations_of(vectors)), "codes")
-    classes = each.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("label", "dim", "code", "unit")))
-    classes = table(classes, "classes")
+    # A class is named after the first of its rows, so no two classes share a name.
+    named = each.where("same is not null").groupBy("same", "label", "dim").agg(F.min("row").alias("node"), F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("code").alias("code"), F.first("unit").alias("unit"))
+    classes = table(named, "classes")
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     links = table(rerank(table(candidates(classes, largest), "candidates"), classes, limit), "links")
     ends = links.select(F.col("a").alias("node"), F.col("nb").alias("m")).union(links.select("b", "na"))
@@ -135,7 +136,8 @@ def link_vectors(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     named = classes.select("node", "rep", "n").join(degree, "node", "left").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = table(named, "named")
     least = table(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
-    named = table(named.join(least, "component").select(F.col("node").alias("c_node"), "component_id", (F.coalesce("m", F.lit(0)) + F.col("n") - 1).alias("links")), "final")
-    alone = F.col("node").isNull()
-    out = each.join(named, each["node"] == named["c_node"], "left").select("vec_id", F.when(alone, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"), F.when(alone, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = named.join(least, "component").join(classes.select("node", F.col("same").alias("c_same")), "node")
+    named = table(named.select("c_same", "component_id", (F.coalesce("m", F.lit(0)) + F.col("n") - 1).alias("links")), "final")
+    alone = F.col("same").isNull()
+    out = each.join(named, each["same"] == named["c_same"], "left").select("vec_id", F.when(alone, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"), F.when(alone, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
