@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN
 from tokenizers import Tokenizer
@@ -24,13 +24,13 @@ from tokenizers import Tokenizer
 from ._shared import Batches, batches, ddl, emit, strings, table
 
 CAPACITY = 1024
-#: Residues of a hash that split the ranking of pieces of one length.
-SUBS = 64
+#: Pieces of a length that are ranked in one place, about.
+RANKED = 100_000
 #: A cut is worth so many tokens of padding.
 CUT_COST = 4.0
 
-#: Texts with characters beyond go to the tokenizers library; below, its ids are those of tiktoken over the same ranks, four times as fast.
-BEYOND = re.compile("[^\x00-ɏ]")
+#: Texts with characters beyond, or with a special token's string, go to the tokenizers library; for others its ids are those of tiktoken over the same ranks, four times as fast.
+BEYOND = "[^\x00-ɏ]"
 
 
 class Encoder:
@@ -38,11 +38,11 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # The file writes printable bytes as themselves and numbers the others from U+0100 on.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(c): c for c in shown} | {chr(0x100 + i): c for i, c in enumerate(c for c in range(256) if c not in shown)}
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.slow = re.compile("|".join([BEYOND, *map(re.escape, sorted(special))]))
         ranks = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in special}
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -50,7 +50,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        return self.whole(text) if BEYOND.search(text) else np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        return self.whole(text) if self.slow.search(text) else np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
 def padded(total: int, capacity: int = CAPACITY) -> int:
@@ -265,24 +265,34 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Input: doc_id, text; other columns are ignored. Null and empty texts are the closing id alone. Rows that repeat are
-    packed as often as they occur. A null doc_id is kept. Texts that hold a special token's string have it as ordinary text.
-    Sequence ids are 0, 1, ... without gaps; which piece of a length comes where follows a hash of doc_id. Empty in, empty out.
+    packed as often as they occur. A null doc_id is kept. A special token's string in a text is that token, as the
+    tokenizer has it.
+    Sequence ids are 0, 1, ... without gaps; which piece of a length comes where follows the order of the
+    input. Empty in, empty out.
     """
-    cut = table(pieces(docs, vocabulary, capacity).withColumn("sub", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SUBS))), "pieces")
-    counts = {(r.length, r.sub): r["count"] for r in cut.groupBy("length", "sub").count().collect()}  # at most capacity x SUBS rows
-    histogram: dict[int, int] = {}
-    starts = np.zeros((capacity + 1, SUBS), np.int64)
-    for n, sub in sorted(counts):
-        starts[n, sub] = histogram.get(n, 0)
-        histogram[n] = histogram.get(n, 0) + counts[n, sub]
+    cut = table(pieces(docs, vocabulary, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
+    # A length's pieces are ranked in as many places as it needs, dealt by their row numbers. Places are numbered through.
+    places = np.array([0] + [1 + histogram.get(n, 0) // RANKED for n in range(1, capacity + 1)])
+    first = np.concatenate([[0], np.cumsum(places)[:-1]])
+
+    def by_length(values: np.ndarray) -> Column:
+        return F.element_at(F.array(*(F.lit(int(v)) for v in values[1:])), F.col("length").cast("int"))
+
+    cut = cut.withColumn("place", (by_length(first) + F.pmod(F.xxhash64("row"), by_length(places))).cast("long"))
+    starts = np.zeros(places.sum(), np.int64)  # ranks before each place: capacity numbers, and one more for each RANKED pieces
+    for r in cut.groupBy("place").count().collect():
+        starts[r.place] = r["count"]
+    starts = np.cumsum(starts) - starts
+    starts -= np.repeat(starts[np.minimum(first[1:], len(starts) - 1)], places[1:])
     solved = plan(histogram, capacity)
     out = batches(dict.fromkeys(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), pa.int64()))
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "sub").orderBy("doc_id", "start")).cast("long"))
+    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy("doc_id", "start", "row")).cast("long"))
 
     def run(it: Batches) -> Batches:
         for b in it:
-            length, sub, rank, whole, head, rest = (b.column(c).to_numpy() for c in ("length", "sub", "rank", "ids_crc32", "head_crc32", "rest_crc32"))
-            row, start, size, sequence, offset = place_all(solved, length, starts[length, sub] + rank - 1, capacity)
+            length, place, rank, whole, head, rest = (b.column(c).to_numpy() for c in ("length", "place", "rank", "ids_crc32", "head_crc32", "rest_crc32"))
+            row, start, size, sequence, offset = place_all(solved, length, starts[place] + rank - 1, capacity)
             crc = np.where(size == length[row], whole[row], np.where(start == 0, head[row], rest[row]))
             at = pa.array(row)
             yield emit(out, b.column("doc_id").take(at), b.column("start").to_numpy()[row] + start, size, crc, b.column("doc_tokens").take(at), sequence, offset)

@@ -196,6 +196,33 @@ def test_vectors(spark):
     assert itq_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+def test_labels_stay_apart(spark):
+    """Equal vectors link only if their labels are equal, whatever the labels' hashes."""
+    v = [0.5, -1.0, 2.0, 0.25]
+    labels = [-1, -2, 5, 5 + 2**32, 7, 7]
+    df = spark.createDataFrame([(i, v, g) for i, g in enumerate(labels)], "vec_id long, embedding array<double>, label long")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in itq_dedup.link_vectors(df).collect()}
+    assert got == {0: (0, 0), 1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4)}
+
+
+def test_planted_links(spark):
+    """Pairs planted at the limit among the driver's vectors, which hold no link of their own, against brute force."""
+    rng = np.random.RandomState(9)
+    rows = [(r.vec_id, np.array(r.embedding, float), r.label) for r in source(spark, DATA, "embeddings").collect()]
+    for i in range(200):
+        _, u, g = rows[i]
+        z = rng.randn(len(u))
+        z -= z @ u / (u @ u) * u
+        c = rng.choice([0.925, 0.935, 0.95, 0.99])
+        rows.append((10_000 + i, c * u / np.linalg.norm(u) + np.sqrt(1 - c * c) * z / np.linalg.norm(z), g))
+    df = spark.createDataFrame([(i, [float(x) for x in v], g) for i, v, g in rows], "vec_id long, embedding array<double>, label int")
+    x, label = np.array([v / np.linalg.norm(v) for _, v, _ in rows]), np.array([g for _, _, g in rows])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None])
+    links = near.sum() - len(rows)
+    got = itq_dedup.link_vectors(df).collect()
+    assert links > 200 and 0.97 * links <= sum(r.n_links for r in got) <= links
+
+
 def test_recall(spark):
     e = source(spark, DATA, "embeddings").collect()
     v = np.array([r.embedding for r in e])

@@ -2,15 +2,21 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from folioscan.llm import chat, packing, pii, queries, secret_scan, toxicity
 from folioscan.llm._shared import source
 
 DATA = "/root/testdata/sf0.01"
+ENCODER, PLAIN = packing.Encoder(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string"  # the last two clash with results
 ODD = [
     (1, None, "en", None, 0, 0.5, "x"), (2, "", "en", "a", 0, 0.5, "x"), (None, "you 1d10t, total scum", "en", "a", 0, 0.5, "x"), (4, "word " * 50_000, None, "a", 0, None, None),
@@ -66,6 +72,22 @@ def test_pii_base_spans(spark):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b.startswith(k + ":") for b in base) for k in ("email", "ip", "card", "phone"))
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text("aZ0192.@-+_% ()x", max_size=40) | st.text("0159.", max_size=25))
+def test_base_spans_are_the_patterns(text):
+    assert [f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in sorted(pii.base_spans(text))] == brute_pii(text)
+
+
+def test_pii_takes_time_in_proportion():
+    """Long runs of what a pattern may begin with don't make a search start over at each character."""
+    n = 1_000_000
+    for text in ("1" * n + "@", "a" * n + "@b", "." * n + "@", "1." * (n // 2), "a(at)" * (n // 5), "0" * 5000 + ".1.1.1", "+1" + "(" * n, "4111 1111 1111 1111 " * (n // 20)):
+        began = time.time()
+        pii.proposals(text, pii.base_spans(text))
+        assert time.time() - began < 5
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(1, 0, 5006)]
+
+
 def test_pii_adds_and_leaves_alone(spark, odd, none):
     rows = [(i, f"Pay by card 4111 1111 1111 1111 4242424242424242 now, mail joe{i}@x.com or call +1 (743) 555-3824") for i in range(20)] + [(99, "Nothing here, version 1.2.3 of 2020.")]
     got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -119,11 +141,12 @@ def test_chat_blocks_are_exact(spark, monkeypatch):
 
 
 def test_packing_round_trip(spark):
-    tokenizer = packing.Encoder(queries.tokenizer_path())
-    docs = source(spark, DATA, "documents").limit(150)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = source(spark, DATA, "documents").select("doc_id", "text").union(spark.createDataFrame([(-1, "a <|endoftext|> b"), (-2, "<|endoftext|>" * 600)], "doc_id long, text string"))
     text = {r.doc_id: r.text or "" for r in docs.collect()}
     rows = packing.pack(docs, queries.tokenizer_path()).collect()
-    ids = {d: [*tokenizer.tokenizer.encode(t, add_special_tokens=False).ids, 0] for d, t in text.items()}
+    ids = {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for d, t in text.items()}
+    assert ids[-1] == [64, 220, 50256, 275, 0]
     covered, fill = {d: [0] * len(x) for d, x in ids.items()}, {}
     for r in rows:
         part = ids[r.doc_id][r.start : r.start + r.length]
@@ -142,6 +165,28 @@ def test_packing_round_trip(spark):
     assert pad < 0.02 * sum(map(len, ids.values()))
 
 
+def test_pieces_of_a_length_in_many_places(spark, monkeypatch):
+    """However many places rank a length's pieces, sequences are filled without gaps."""
+    monkeypatch.setattr(packing, "RANKED", 3)
+    docs = spark.createDataFrame([(None if i % 3 else i % 7, "word " * (i % 5 * 300)) for i in range(120)], "doc_id long, text string")
+    fill: dict = {}
+    for r in packing.pack(docs, queries.tokenizer_path()).collect():
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(fill) == list(range(len(fill)))
+    for parts in fill.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 1024
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x24F), max_size=60) | st.lists(st.sampled_from(["'s", " ", "  ", "\n", "\t", "1", "23", "½", "²", "a", "É", "ß", "_", "-", "...", "\u00a0", "\u0085", "\x1c", "ab", "<|", "|>", "I'LL"]), max_size=30).map("".join))
+def test_fast_ids_are_the_tokenizers(text):
+    assert ENCODER.encode(text) == np.array(PLAIN.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packing_edge_cases(spark, odd, none):
     got = packing.pack(odd, queries.tokenizer_path()).collect()
     assert sum(r.length for r in got if r.doc_id in (1, 2)) == 2 and sum(r.doc_id == 5 for r in got) == 2
