@@ -1,14 +1,16 @@
 """Exact deduplication over counting quotient filters.
 
-Each input partition builds a counting quotient filter of its documents' 64-bit fingerprints: the high bits (quotient)
-choose a slot range, the low bits (remainder) are kept sorted with a count. Filters merge losslessly by merging sorted
-remainders, range by range. Only fingerprints with a count above one go on to byte verification, where rows are grouped
+Each input partition builds counting quotient filters of its documents' 64-bit fingerprints, one for each range of their
+high bits; there are as many ranges as the number of documents asks for, so a filter stays small at any size. In a filter
+the quotient, the next bits, is a home slot, and the remainder is what the slot holds. Filters of a range merge losslessly
+by merging sorted remainders. Only fingerprints with a count above one go on to byte verification, where rows are grouped
 by their whole normalised bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -18,37 +20,91 @@ from pyspark.sql import functions as F
 
 from ._shared import Batches, as_long, batches, by_rows, ddl, emit, has, members, row_key, table, texts
 
-RANGE_BITS = 8
+U = np.uint64
+#: Documents a range of fingerprints has at most, about.
+RANGE_ROWS = 500_000
+#: Share of the home slots that are taken at most.
+LOAD = 0.75
 
 
-class CountingQuotientFilter:
-    """Fingerprints with counts, as sorted runs. add() collects, runs() yields (range, remainders, counts)."""
-
-    def __init__(self, range_bits: int = RANGE_BITS):
-        self.shift, self.keys, self.counts, self.fresh = np.uint64(64 - range_bits), np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+def once(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
-    def add(self, fingerprints: np.ndarray) -> None:
-        self.fresh.append(fingerprints.astype(np.uint64))
-        if sum(map(len, self.fresh)) > 1_000_000:
-            self.settle()
 
-    def settle(self) -> None:
-        fresh = np.concatenate([np.zeros(0, np.uint64), *self.fresh])
-        self.merge(fresh, np.ones(len(fresh), np.int64))
-        self.fresh = []
+class CountingQuotientFilter:
+    """A multiset of fingerprints of so many bits, exactly.
 
-    def merge(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        every, n = np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts])
-        self.keys, at = np.unique(every, return_inverse=True)
-        self.counts = np.zeros(len(self.keys), np.int64)
-        np.add.at(self.counts, at, n)
+    A fingerprint's high bits are its home slot, the others are stored. Fingerprints of one home are a run, sorted; runs are
+    in the order of their homes and move up where slots are taken. Three bits a slot tell the homes that have a run
+    (occupied), the slots that go on a run (continued) and those away from home (shifted), which is enough to tell each
+    slot's home again. Counts above one are kept beside.
+    """
 
-    def runs(self):
-        self.settle()
-        ranges = (self.keys >> self.shift).astype(np.int64)
-        for q in np.unique(ranges):
-            at = ranges == q
-            yield int(q), self.keys[at] & ((np.uint64(1) << self.shift) - np.uint64(1)), self.counts[at]
+    def __init__(self, bits: int = 64, keys: np.ndarray = np.zeros(0, U), counts: np.ndarray = np.zeros(0, np.int64)):
+        """keys: sorted and distinct, of so many bits; counts: how often each is in the multiset."""
+        self.bits, n = bits, len(keys)
+        self.quotient = min(bits, max(1, int(np.ceil(np.log2(max(2, n / LOAD))))))
+        self.shift = U(bits - self.quotient)
+        home = (keys >> self.shift).astype(np.int64) if self.quotient < 64 else keys.astype(np.int64)
+        at = np.arange(n) + np.maximum.accumulate(home - np.arange(n)) if n else home
+        slots = max(1 << self.quotient, int(at[-1]) + 1 if n else 0)
+        self.remainders = np.zeros(slots, U)
+        self.occupied, self.continued, self.shifted = (np.zeros(slots, bool) for _ in range(3))
+        self.remainders[at] = keys & ((U(1) << self.shift) - U(1))
+        self.occupied[home] = True
+        self.continued[at[1:]] = home[1:] == home[:-1]
+        self.shifted[at] = at != home
+        often = counts > 1
+        self.often, self.counts = at[often], counts[often]
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        """All fingerprints, sorted, and their counts."""
+        used = np.flatnonzero(self.occupied | self.continued | self.shifted)
+        run = np.cumsum(~self.continued[used]) - 1
+        counts = np.ones(len(self.remainders), np.int64)
+        counts[self.often] = self.counts
+        return (np.flatnonzero(self.occupied)[run].astype(U) << self.shift) | self.remainders[used], counts[used]
+
+    @classmethod
+    def merged(cls, bits: int, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+        parts = [f.items() for f in filters]
+        return cls(bits, *once(*(np.concatenate(x) for x in zip(*parts)))) if parts else cls(bits)
+
+    def dump(self) -> bytes:
+        """Remainders in as many bytes as they need, the three bits, the counts above one."""
+        width = max(1, -(-int(self.shift) // 8))
+        marks = np.packbits(np.concatenate([self.occupied, self.continued, self.shifted]))
+        head = np.array([self.bits, self.quotient, len(self.remainders), len(self.often)], np.int64)
+        return b"".join(x.tobytes() for x in (head, np.ascontiguousarray(self.remainders.view(np.uint8).reshape(-1, 8)[:, :width]), marks, self.often, self.counts))
+
+    @classmethod
+    def load(cls, data: bytes) -> CountingQuotientFilter:
+        self, slots = cls.__new__(cls), int(np.frombuffer(data, np.int64, 1, 16)[0])
+        self.bits, self.quotient, _, often = map(int, np.frombuffer(data, np.int64, 4))
+        self.shift = U(self.bits - self.quotient)
+        width, at = max(1, -(-int(self.shift) // 8)), 32
+        wide = np.zeros((slots, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(data, np.uint8, slots * width, at).reshape(slots, width)
+        self.remainders, at = wide.view(U).ravel(), at + slots * width
+        marks = np.unpackbits(np.frombuffer(data, np.uint8, -(-3 * slots // 8), at), count=3 * slots).astype(bool)
+        self.occupied, self.continued, self.shifted = marks.reshape(3, slots)
+        at += -(-3 * slots // 8)
+        self.often, self.counts = np.frombuffer(data, np.int64, often, at), np.frombuffer(data, np.int64, often, at + 8 * often)
+        return self
+
+
+def by_range(keys: np.ndarray, counts: np.ndarray, range_bits: int):
+    """(range, filter of its fingerprints) of sorted distinct 64-bit fingerprints."""
+    bits = 64 - range_bits
+    of = (keys >> U(bits)).astype(np.int64) if range_bits else np.zeros(len(keys), np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    low = keys & ((U(1) << U(bits)) - U(1)) if range_bits else keys
+    for i, j in zip(cuts, [*cuts[1:], len(keys)]):
+        yield int(of[i]), CountingQuotientFilter(bits, low[i:j], counts[i:j])
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -65,25 +121,33 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def repeated_fingerprints(digest: DataFrame) -> DataFrame:
-    """(fp, n) of fingerprints that more than one document has, from merged filters."""
-    part, merged = batches({"q": pa.int32(), "remainders": pa.binary(), "counts": pa.binary()}), batches({"fp": pa.int64(), "n": pa.int64()})
+    """(fp, n) of fingerprints that more than one document has, from merged filters. digest: a table with fp."""
+    range_bits = max(8, math.ceil(math.log2(max(1, digest.count() / RANGE_ROWS))))
+    part, merged = batches({"range": pa.int64(), "filter": pa.binary()}), batches({"fp": pa.int64(), "n": pa.int64()})
 
     def build(it: Batches) -> Batches:
-        own = CountingQuotientFilter()
+        held, fresh = (np.zeros(0, U), np.zeros(0, np.int64)), []
+
+        def settle():
+            every = np.concatenate([held[0], *fresh])
+            return once(every, np.concatenate([held[1], np.ones(len(every) - len(held[0]), np.int64)]))
+
         for b in it:
-            own.add(b.column("fp").to_numpy().view(np.uint64))
-        rows = [(q, r.tobytes(), n.tobytes()) for q, r, n in own.runs()]
-        if rows:
-            yield emit(part, *map(list, zip(*rows)))
+            fresh.append(b.column("fp").to_numpy().view(U))
+            if sum(map(len, fresh)) > 1_000_000:
+                held, fresh = settle(), []
+        rows = [(q, f.dump()) for q, f in by_range(*settle(), range_bits)]
+        for i in range(0, len(rows), 256):
+            yield emit(part, *map(list, zip(*rows[i : i + 256])))
 
     def merge(key, group):
-        every = CountingQuotientFilter()
-        every.merge(*(np.frombuffer(b"".join(group.column(c).to_pylist()), kind) for c, kind in (("remainders", np.uint64), ("counts", np.int64))))
-        again = every.counts > 1
-        fp = every.keys[again] | (np.uint64(key[0].as_py()) << every.shift)
-        return pa.table([pa.array(as_long(fp)), pa.array(every.counts[again])], schema=merged)
+        every = CountingQuotientFilter.merged(64 - range_bits, [CountingQuotientFilter.load(x) for x in group.column("filter").to_pylist()])
+        keys, counts = every.items()
+        again = counts > 1
+        fp = keys[again] | (U(key[0].as_py()) << U(64 - range_bits))
+        return pa.table([pa.array(as_long(fp)), pa.array(counts[again])], schema=merged)
 
-    return digest.select("fp").mapInArrow(build, ddl(part)).groupBy("q").applyInArrow(merge, ddl(merged))
+    return digest.select("fp").mapInArrow(build, ddl(part)).groupBy("range").applyInArrow(merge, ddl(merged))
 
 
 def verified_groups(docs: DataFrame, again: DataFrame) -> DataFrame:

@@ -72,22 +72,29 @@ def test_exact_by_shuffling(spark, shuffled):
     assert got == {r.doc_id: last[r.text.encode().lower()] for r in docs.collect()}
 
 
-def test_filters_merge_without_loss():
+@pytest.mark.parametrize("range_bits", [0, 3, 8])
+def test_filters_merge_without_loss(range_bits):
     rng = np.random.RandomState(1)
-    keys = rng.randint(0, 2**63, 500, dtype=np.int64).astype(np.uint64)
-    drawn = [rng.choice(keys, 300) for _ in range(5)]
+    keys = np.concatenate([rng.randint(0, 2**63, 500, dtype=np.int64).astype(np.uint64) * np.uint64(2), np.array([0, 1, 2, 2**64 - 1, 2**64 - 2], np.uint64), np.arange(300, dtype=np.uint64) + np.uint64(7 << 60)])
+    drawn = [rng.choice(keys, 600) for _ in range(5)] + [keys[:0], keys[:1]]
     parts = collections.defaultdict(list)
     for d in drawn:
-        f = exact_dedup.CountingQuotientFilter()
-        f.add(d)
-        for q, r, n in f.runs():
-            parts[q].append((r, n))
+        for q, f in exact_dedup.by_range(*exact_dedup.once(d, np.ones(len(d), np.int64)), range_bits):
+            parts[q].append(exact_dedup.CountingQuotientFilter.load(f.dump()))
     got = collections.Counter()
-    for q, runs in parts.items():
-        f = exact_dedup.CountingQuotientFilter()
-        f.merge(np.concatenate([r for r, _ in runs]), np.concatenate([n for _, n in runs]))
-        got.update({int(k) | q << int(f.shift): int(n) for k, n in zip(f.keys, f.counts)})
+    for q, filters in parts.items():
+        f = exact_dedup.CountingQuotientFilter.merged(64 - range_bits, filters)
+        k, n = f.items()
+        assert (k[1:] > k[:-1]).all() and len(f.remainders) >= len(k)
+        got.update({int(x) | q << (64 - range_bits): int(c) for x, c in zip(k, n)})
     assert got == collections.Counter(int(x) for d in drawn for x in d)
+    assert len(exact_dedup.CountingQuotientFilter().items()[0]) == 0
+
+
+def test_filters_are_small():
+    """A full filter has less than a fingerprint's eight bytes and its share of the free slots."""
+    keys = np.unique(np.random.RandomState(2).randint(0, 2**63, 98_000, dtype=np.int64).astype(np.uint64))
+    assert len(exact_dedup.CountingQuotientFilter(64, keys, np.ones(len(keys), np.int64)).dump()) < 8.7 * len(keys)
 
 
 def near_brute(rows, k, num, den):
