@@ -35,14 +35,24 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/folioscan/{name}-{uuid.uuid4().hex}"
+    written.append(path)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and survives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/folioscan/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     bound_batches(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.folder = path
-    written.append(path)
     return out
 
 

@@ -36,7 +36,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secrets_report(source(spark, sf_dir, "documents"))
+    return secret_scan.secrets_report(source(spark, sf_dir, "documents"), ("source", "doc_id"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

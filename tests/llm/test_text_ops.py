@@ -117,6 +117,28 @@ def test_ledger_scans_unseen_only(spark):
     assert sorted(r.path for r in third.collect() if r.spans) == ["p1", "p2", "p4", "p5"]
 
 
+def test_ledger_is_kept(spark, tmp_path, none):
+    """Increments through a stored ledger: what one has scanned the next reads, whatever its path."""
+    ledger = secret_scan.BlobLedger(spark, f"file://{tmp_path}/ledger")
+    a = spark.createDataFrame([("p1", "password=abcdef1"), ("p2", "password=abcdef1"), ("p2", "password=abcdef1"), (None, None)], "path string, text string")
+    assert sorted(r.path for r in ledger.scan(a, ["path"]).collect() if r.spans) == ["p1", "p2", "p2"]
+    assert ledger.read("blobs").count() == 2 and ledger.read("findings").count() == 1
+    b = a.union(spark.createDataFrame([("p9", "secret: zzzzzz9"), ("p5", "password=abcdef1")], a.schema))
+    assert sorted(r.path for r in ledger.scan(b, ["path"]).collect() if r.spans) == ["p1", "p2", "p2", "p5", "p9"]
+    assert ledger.read("blobs").count() == 3 and ledger.read("findings").count() == 2
+    assert ledger.scan(b, ["path"], secret_scan.RULES[:1]).count() == 6 and ledger.read("blobs").count() == 6  # other rules see all blobs again
+    assert ledger.scan(a.limit(0), ["path"]).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 2, 10**6])
+def test_rows_to_scan_by_any_list(spark, monkeypatch, few):
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", few * 32)
+    rows = [(f"p{i}", f"token={i % 7:06d}") for i in range(40)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = secret_scan.scan(df, ["path"])
+    assert got[2].count() == 7 and got[1].count() == 7 and all(len(r.spans) == 1 for r in got[0].collect())
+
+
 def test_chat_recovers_roles(spark):
     turns = source(spark, DATA, "conversations")
     lines = chat.transcripts(turns)
