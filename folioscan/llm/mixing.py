@@ -5,12 +5,17 @@ Each document's expected copies (its source's target / size) are prefix-summed w
 for the source, a document is emitted once for each integer boundary its stretch crosses, so the copies of a source
 differ from its share by less than one and no document has more than 2.
 
-Documents of more than a hundredth of their source, fewer than a hundred of them, come first, largest first; each one's
-expected copies are what is left of the target over what is left of the source, so that later documents make up for what
-earlier ones took too much or too little. All others share one rate. Their prefix sums are taken in fixed point and in two
-levels: within buckets of a source (order of magnitude of the size, then a residue of doc_id), and over the buckets'
-totals, so a source with a third of all rows is spread over many tasks. Going through a source by size keeps the mixed
-words near the target as well as the mixed documents.
+That is the rule for all documents; what a document's expected copies are depends on how many words are left to take.
+Documents of more than a hundredth of their source, fewer than a hundred of them, come first, largest first, and each one's
+expected copies are what is left of the target over what is left of the source (0 to 2). For all others that is the same
+number, but for rounding, at whatever point it is taken, so they share one rate. Why words come near their target: the
+copies of the first j documents differ from their expected number by less than one, for each j. Summed by parts over
+documents in order of size, words taken differ from words expected by less than twice the largest of them, two hundredths
+of the source, and what the large ones took too much or too little is in the rate of the others.
+
+Prefix sums are taken in fixed point and in two levels: within buckets of a source (order of magnitude of the size, dealt
+to as many places as its documents need), and over the buckets' totals, so a source with a third of all rows is spread over
+many tasks.
 """
 
 from __future__ import annotations
@@ -24,8 +29,8 @@ from pyspark.sql import functions as F
 from ._shared import batches, ddl, row_key, sized, table
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-#: Residues of doc_id that split each order of magnitude of a source.
-SUBS = 32
+#: Documents of a bucket that are ranked in one place, about.
+RANKED = 100_000
 #: Documents of more than 1 / LARGE of their source are mixed one by one.
 LARGE = 100
 #: Fixed point of expected copies.
@@ -38,23 +43,38 @@ def size_of(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def ranked_sources(sizes: DataFrame) -> DataFrame:
+    """sizes(source, source_size) with place: 0, 1, ... in order of code points, null last. Sorted by ranges, so no task holds all sources."""
+    key = F.struct(F.col("source").isNull().alias("last"), F.col("source").alias("source"))
+    laid = sizes.withColumn("_key", key).repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_id", F.monotonically_increasing_id())
+    laid = table(laid.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id") - F.shiftleft("_part", 33)).drop("_key", "_id"), "sources")
+    starts, before = {}, 0
+    for r in laid.groupBy("_part").count().orderBy("_part").collect():  # a row for each partition
+        starts[r["_part"]], before = before, before + r["count"]
+    if not starts:
+        return laid.select("source", "source_size", F.lit(0).cast("long").alias("place"))
+    start = F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), F.col("_part"))
+    return laid.select("source", "source_size", (F.col("_at") + start).cast("long").alias("place"))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size) -> with target. One row per source, in order of code points, null last; weights repeat in that order.
 
     Sharing the excess again until no source is above most x its size ends where target = min(most x size, level x weight)
-    with one level for all. Ordered by the level at which each fills up, running sums find it.
+    with one level for all. Each round raises the level by what the sources that are full leave over, until no further one is.
     """
-    one = F.lit(1)
-    w = Window.partitionBy(one).orderBy(F.col("source").asc_nulls_last())
-    s = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(w) - 1) % len(weights) + 1).cast("int")))
-    s = s.withColumn("cap", most * F.col("source_size")).withColumn("fills", F.col("cap") / F.col("weight"))
-    up = Window.partitionBy(one).orderBy("fills", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(one)
-    rest = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(up), F.lit(0.0))
-    s = s.withColumn("level", (share * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(up), F.lit(0.0))) / rest)
-    # The first source, in that order, that does not fill up at its level sets the level of all after it.
-    s = s.withColumn("final", F.min(F.when(F.col("level") <= F.col("fills"), F.struct("fills", "level"))).over(every)["level"])
-    return s.select("source", "source_size", F.least("cap", F.col("weight") * F.coalesce("final", F.lit(0.0))).alias("target"))
+    s = ranked_sources(sizes)
+    s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("place") % len(weights) + 1).cast("int"))).withColumn("cap", most * F.col("source_size"))
+    fills, level = F.col("cap") / F.col("weight"), -1.0
+    while True:
+        full = fills < level
+        r = s.agg(F.sum("source_size").alias("total"), F.sum(F.when(full, F.col("cap"))).alias("kept"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        now = (share * (r.total or 0) - (r.kept or 0.0)) / r.open if r.open else math.inf
+        if now <= level or now == math.inf:
+            level = max(now, level)
+            break
+        level = now
+    return s.select("source", "source_size", F.least("cap", F.col("weight") * level).alias("target"))
 
 
 def offset(source: Column) -> Column:
@@ -83,17 +103,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     """One row per input row: doc_id, row_key, source, size (words), source_size, target, copies (0 to 2), taken (size x copies).
 
     Input: doc_id, text, source; other columns are ignored. Null and empty texts have size 0; a null source is a source of
-    its own, after the others. Rows that repeat are rows of their own; ties in size are ordered by doc_id. A source of size
-    0 has target 0 and copies 0. Empty in, empty out.
+    its own, after the others. Rows that repeat are rows of their own; ties in size are ordered by doc_id, null first. A
+    source of size 0 has target 0 and copies 0. Empty in, empty out. Reruns over the same rows give the same copies.
     """
     size = F.col("size")
     magnitude = F.length(size.cast("string")) * 10 + F.substring(size.cast("string"), 1, 1).cast("int")
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), row_key().alias("row_key"), size_of().alias("size"))
-    each = table(each.withColumn("bucket", magnitude).withColumn("sub", F.coalesce(F.pmod("doc_id", F.lit(SUBS)), F.lit(0))), "sizes")
-    goal = targets(each.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    goal = table(goal.withColumn("offset", offset(F.col("source"))), "targets").withColumnRenamed("source", "g_source")
-    same = F.col("source").eqNullSafe(F.col("g_source"))
-    each = each.join(sized(goal), same).drop("g_source")
+    each = table(each.withColumn("bucket", magnitude), "sizes")
+    buckets = table(each.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "buckets")
+    goal = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    goal = table(goal.withColumn("offset", offset(F.col("source"))).withColumnRenamed("source", "g_source"), "targets")
+    goal = buckets.join(sized(goal), F.col("source").eqNullSafe(F.col("g_source")))
+    goal = table(goal.select("g_source", F.col("bucket").alias("g_bucket"), "source_size", "target", "offset", (1 + F.floor(F.col("n") / RANKED)).alias("places")), "goals")
+    each = each.join(sized(goal), F.col("source").eqNullSafe(F.col("g_source")) & (F.col("bucket") == F.col("g_bucket"))).drop("g_source", "g_bucket")
+    each = each.withColumn("sub", F.pmod(F.xxhash64("doc_id", "row_key"), F.col("places"))).drop("places")
     large = size * LARGE > F.col("source_size")
     first = table(large_first(each.where(large), most), "large")
     ends = table(first.where("last").select(F.col("source").alias("e_source"), "prefix", "taken", "passed"), "ends")
@@ -120,7 +143,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, each row as often as mix() takes it. Rows that repeat in doc_id and text are dealt the copies of all of them evenly."""
+    """docs, all columns, each row as often as mix() takes it. Rows that repeat in doc_id and text are dealt the copies of all of them evenly.
+
+    Null and empty texts, null sources and null doc_ids are as in mix(); documents without words have no copies. Empty in, empty out.
+    """
     found = mix(docs, **options).select(F.col("doc_id").alias("_fs_id"), F.col("row_key").alias("_fs_key"), "copies")
     found = table(found, "mixed").groupBy("_fs_id", "_fs_key").agg(F.sum("copies").alias("_fs_copies"), F.count("*").alias("_fs_rows"))
     own = docs.withColumn("_fs_row", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(1)))) if not found.where("_fs_rows > 1").isEmpty() else docs.withColumn("_fs_row", F.lit(1))

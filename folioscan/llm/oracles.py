@@ -38,7 +38,7 @@ with recursive d as (
   select * from walk qualify row_number() over (partition by src order by rank desc) = 1
 ), r as (
   select e.*, z.prefix, case when e.source_size > z.passed then floor(least(greatest((e.target - z.taken) / (e.source_size - z.passed), 0), 2.0::double) * 16777216)::bigint else 0 end as step,
-    row_number() over (partition by e.src order by length(size::varchar) * 10 + substr(size::varchar, 1, 1)::int, coalesce(((doc_id % 32) + 32) % 32, 0), size, doc_id nulls first) as rank
+    row_number() over (partition by e.src order by size, doc_id nulls first) as rank
   from e join z using (src) where size * 100 <= source_size
 )
 select doc_id, size, source_size, target, size * (((prefix + rank * step) >> 24) - ((prefix + (rank - 1) * step) >> 24)) as taken from r

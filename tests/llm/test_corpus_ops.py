@@ -257,6 +257,50 @@ def test_mix(spark, odd, none):
     assert out.columns == odd.columns and out.count() == sum(r.copies for r in got)
 
 
+def fill(sizes, weights, share, most):
+    """Targets by sharing the excess again and again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, rest = dict.fromkeys(order, 0.0), share * sum(sizes.values())
+    open_ = set(order)
+    while open_ and rest > 1e-6:
+        total, left = sum(weight[s] for s in open_), 0.0
+        for s in open_:
+            target[s] += rest * weight[s] / total
+            if target[s] > most * sizes[s]:
+                left += target[s] - most * sizes[s]
+                target[s] = most * sizes[s]
+        open_, rest = {s for s in open_ if target[s] < most * sizes[s]}, left
+    return target
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_by_resharing(spark, seed):
+    rng = random.Random(seed)
+    sizes = {s: rng.choice((0, 1, 7, 100, 5000, 10**6)) for s in [None, "", "é", "Z", *(f"s{i}" for i in range(rng.choice((0, 3, 60))))]}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    want = fill(sizes, mixing.WEIGHTS, 1.5, 2.0)
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-6, abs=1e-3) for s in got)
+
+
+@pytest.mark.parametrize("places", [3, 100_000])
+def test_words_come_near_targets(spark, monkeypatch, places):
+    """Within two of the largest documents mixed by rate, a fiftieth of the source, whatever the sizes and the places."""
+    monkeypatch.setattr(mixing, "RANKED", places)
+    rng, rows = random.Random(places), []
+    for s in ("a", "b", "c", None):
+        for _ in range(400):
+            rows.append((len(rows), "w " * int(rng.lognormvariate(2.5, 1.2)), s))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, again = mixing.mix(df).collect(), mixing.mix(df.repartition(7)).collect()
+    assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
+    for s in ("a", "b", "c", None):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= own[0].source_size / 50
+        assert all(r.copies in (0, 1, 2) for r in own)
+
+
 def test_targets_reshare(spark):
     s = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 500)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(s).collect()}
