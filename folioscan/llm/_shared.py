@@ -106,12 +106,19 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer where df has such columns."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for i in range(len(taken) + 1) if (x := n + "_" * i).lower() not in taken) for n in names]
+
+
 def by_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """docs left semi or anti the (doc_id, row_key) rows of keys. keys is broadcast only after a check of its size."""
     few = keys.count() <= BROADCAST_ROWS // 8
-    k = keys.select(F.col("doc_id").alias("_fs_id"), F.col("row_key").alias("_fs_key"))
+    i, key = unused(docs, "k_id", "k_key")
+    k = keys.select(F.col("doc_id").alias(i), F.col("row_key").alias(key))
     k = F.broadcast(k) if few else k
-    return docs.join(k, F.col("_fs_id").eqNullSafe(docs["doc_id"]) & (F.col("_fs_key") == F.xxhash64(docs["doc_id"], docs["text"])), how)
+    return docs.join(k, F.col(i).eqNullSafe(docs["doc_id"]) & (F.col(key) == F.xxhash64(docs["doc_id"], docs["text"])), how)
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS // 8) -> DataFrame:

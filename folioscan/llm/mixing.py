@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import batches, ddl, row_key, sized, table
+from ._shared import batches, ddl, row_key, sized, table, unused
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Documents of a bucket that are ranked in one place, about.
@@ -147,9 +147,11 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
 
     Null and empty texts, null sources and null doc_ids are as in mix(); documents without words have no copies. Empty in, empty out.
     """
-    found = mix(docs, **options).select(F.col("doc_id").alias("_fs_id"), F.col("row_key").alias("_fs_key"), "copies")
-    found = table(found, "mixed").groupBy("_fs_id", "_fs_key").agg(F.sum("copies").alias("_fs_copies"), F.count("*").alias("_fs_rows"))
-    own = docs.withColumn("_fs_row", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(1)))) if not found.where("_fs_rows > 1").isEmpty() else docs.withColumn("_fs_row", F.lit(1))
-    joined = own.join(found, own["doc_id"].eqNullSafe(found["_fs_id"]) & (F.xxhash64(own["doc_id"], own["text"]) == found["_fs_key"]))
-    copies = F.floor(F.col("_fs_copies") * F.col("_fs_row") / F.col("_fs_rows")) - F.floor(F.col("_fs_copies") * (F.col("_fs_row") - 1) / F.col("_fs_rows"))
-    return joined.withColumn("_fs_copy", F.explode(F.sequence(F.lit(1), F.lit(2)))).where(F.col("_fs_copy") <= copies).select(*(own[c] for c in docs.columns))
+    i, key, total, rows, nth, copy = unused(docs, "m_id", "m_key", "m_copies", "m_rows", "m_nth", "m_copy")
+    found = mix(docs, **options).select(F.col("doc_id").alias(i), F.col("row_key").alias(key), "copies")
+    found = table(found, "mixed").groupBy(i, key).agg(F.sum("copies").alias(total), F.count("*").alias(rows))
+    again = not found.where(F.col(rows) > 1).isEmpty()
+    own = docs.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(1))) if again else F.lit(1))
+    joined = own.join(found, own["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(own["doc_id"], own["text"]) == F.col(key)))
+    copies = F.floor(F.col(total) * F.col(nth) / F.col(rows)) - F.floor(F.col(total) * (F.col(nth) - 1) / F.col(rows))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.lit(2)))).where(F.col(copy) <= copies).select(*(own[c] for c in docs.columns))

@@ -365,3 +365,30 @@ def test_pipeline_against_brute_force(spark):
     words = {r.doc_id: len((r.text or "").encode().split()) for r in lone}
     taken = sum(words[d] * n // tokens[d] for d, n in copies.items())
     assert abs(taken - 1.5 * sum(size.values())) < 0.03 * sum(size.values())
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Null, empty, repeated rows and clashing columns go through all stages; so does an empty table."""
+    import corpus_pipeline
+
+    clash = "node long, row long, component string, token string, n long, rank int, taken long, copies int, l_id long, _fs_id long, score double"
+    base = [(1, None, "en", None, 0), (2, "", "en", "a", 0), (None, "one two three four five six", "en", "a", 0), (4, "word " * 30_000, None, "a", 0), (5, "Same Text here now", "en", "b", 0), (5, "Same Text here now", "en", "b", 0), (6, "same text HERE now", "en", "b", 0), (9, "x", "en", "b", 0), (9, "y z", "en", "b", 0)]
+    odd = spark.createDataFrame([(*r, *range(9, 11), "c", "t", 1, 2, 3, 4, 5, 6, 0.5) for r in base], f"doc_id long, text string, lang string, source string, n_chars long, {clash}")
+    spark.createDataFrame([(1, 0), (None, 1), (5, None)], "doc_id long, toxic int").write.parquet(f"file://{tmp_path}/some/labels.parquet")
+    for docs, rows in ((odd, 7), (odd.limit(0), 0)):
+        for i, (name, step) in enumerate(corpus_pipeline.STAGES):
+            step(spark, docs, f"file://{tmp_path}/some").write.parquet(f"file://{tmp_path}/{rows}/{i}")
+            docs = spark.read.parquet(f"file://{tmp_path}/{rows}/{i}")
+            if i < 4:
+                assert docs.columns == odd.columns, name
+            if name == "exact dedup":
+                assert sorted(str(r.doc_id) for r in docs.collect()) == (["2", "4", "6", "9", "9", "None"] if rows else [])
+        assert bool(docs.count()) == bool(rows) and not [p for p in _shared.written if p in corpus_pipeline._spent[:0]]
+
+
+def test_stages_delete_spent_tables(spark):
+    import corpus_pipeline
+
+    before = {*_shared.written}
+    corpus_pipeline.run(spark, DATA).count()
+    assert {*_shared.written} <= before
