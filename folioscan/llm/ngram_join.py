@@ -7,8 +7,9 @@ number of tokens in it. Word frequencies are counted over all documents; words b
 so the list of frequent words stays bounded however many documents there are.
 
 The first order's filter works before any pair exists: a prefix token that only one set has is dropped, and a set that is
-left with fewer tokens than any link needs is out. Of what is left, sets that share at least half their prefix with the
-first holder of its tokens (the hub) form clusters of near copies; any clustering would do. Between clusters, pairs must
+left with fewer tokens than any link needs is out. Sets that share at least half their prefix with the first holder of its
+tokens (the hub), under the first order or among the lowest hash values, form clusters of near copies; any clustering would
+do. Between clusters, pairs must
 share a token early enough in both prefixes, with enough shared tokens on either side; then all orders are intersected.
 What passes joins its clusters. Within a cluster, sets are compared by matrix products in blocks: each block with itself
 and the cluster's hub first, then what did not join the cluster's largest part with all blocks. Parts are put out as stars,
@@ -36,7 +37,9 @@ RARE = 0.0002
 EXTRA = 4
 #: Sets, and tokens, of a cluster that are held in one block; columns of a matrix that are held at once.
 BLOCK, BLOCK_TOKENS, COLUMNS = 1000, 1_000_000, 4096
-#: Rounds of dropping sets with too few shared prefix tokens.
+#: Lowest tokens of a set by which hubs are found; half of them shared with a hub make a near copy.
+LOWEST = 8
+#: Rounds of growing clusters, and of dropping sets with too few shared prefix tokens.
 ROUNDS = 2
 
 
@@ -131,8 +134,8 @@ def common_words(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, num: int, den: int) -> DataFrame:
-    """One row per document: doc_id, row_key, row (its number), n, node (hash of the whole set, its class), rare: the prefix of rare tokens, empty for sets that only link with equal ones."""
-    out = batches({"doc_id": pa.int64(), "row_key": pa.int64(), "n": pa.int32(), "node": pa.int64(), "rare": pa.list_(pa.int64())})
+    """One row per document: doc_id, row_key, row (its number), n, node (hash of the whole set, its class), rare: the prefix of rare tokens, low: the LOWEST first ones upwards; both empty for sets that only link with equal ones."""
+    out = batches({"doc_id": pa.int64(), "row_key": pa.int64(), "n": pa.int32(), "node": pa.int64(), "rare": pa.list_(pa.int64()), "low": pa.list_(pa.int64())})
     least, words, weights = least_set(num, den), *common
 
     def run(it: Batches) -> Batches:
@@ -143,7 +146,7 @@ def signatures(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, n
                 h = cache.of(x)
                 s, first = shingles(h, k)
                 n = len(s)
-                row = [n, as_long(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], U))[0] if n else None, []]
+                row = [n, as_long(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], U))[0] if n else None, [], []]
                 if n >= least:
                     w = np.zeros(len(h))
                     if len(words):
@@ -153,11 +156,11 @@ def signatures(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, n
                     width = min(k, len(h))
                     # Rare first; the sort is stable, so ties go by hash.
                     order = np.argsort(np.round((c[width:] - c[:-width])[first] * 100).astype(np.int32), kind="stable")
-                    row[2] = as_long(s[order[: prefix_length(n, num, den)]])
+                    row[2:] = as_long(s[order[: prefix_length(n, num, den)]]), as_long(s[:LOWEST])
                 rows.append(row)
             if rows:
-                n, node, rare = map(list, zip(*rows))
-                yield emit(out, b.column("doc_id"), b.column("row_key"), n, node, listed(rare, out.field(4).type))
+                n, node, *lists = map(list, zip(*rows))
+                yield emit(out, b.column("doc_id"), b.column("row_key"), n, node, *(listed(x, out.field(i + 4).type) for i, x in enumerate(lists)))
 
     return docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("row_key")).mapInArrow(run, ddl(out)).withColumn("row", F.monotonically_increasing_id())
 
@@ -259,21 +262,39 @@ def links_within(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> Da
     return links.union(table(links_of(tokens.join(sent, "node").select("place", "i", "j", "component", "node", "tokens"), num, den), "links"))
 
 
-def shared_tokens(wide: DataFrame) -> DataFrame:
-    """Rows (node, n, pos, token, hub) of prefix tokens that more than one set has. hub: (node, n) of the first set that has the token."""
-    rows = wide.select("node", "n", F.posexplode("rare").alias("pos", "token"))
+def shared_tokens(wide: DataFrame, tokens: str) -> DataFrame:
+    """Rows (node, n, pos, token, hub) of the tokens that more than one set has. hub: the first set that has the token."""
+    rows = wide.select("node", "n", F.posexplode(tokens).alias("pos", "token"))
     # Holders meet on the map side first, so a token that a third of all sets have is no burden; then only shared ones have a row.
-    found = rows.groupBy("token").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last")
+    found = rows.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     shared = table(found.select("token", "hub"), "shared")
     out = table(rows.join(shared, "token"), "rows")
     free(shared)
     return out
 
 
-def near_hubs(shares: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (u, v) of sets to hubs that hold at least half of either's prefix. shares(node, n, hub, k): k shared prefix tokens have that hub."""
-    near = shares.where(F.col("node") != F.col("hub.node")).where(F.col("k") * 2 >= F.least(prefix_of("n", num, den), prefix_of("hub.n", num, den)))
-    return near.select(F.col("node").alias("u"), F.col("hub.node").alias("v"))
+def near_hubs(shares: DataFrame, lowest: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (u, v) of sets to hubs that hold at least half of either's prefix, of rare tokens or of the lowest.
+
+    shares(node, n, hub, k): k shared tokens of the rare prefix have that hub. lowest: shared_tokens() of the lowest. Both
+    orders are needed: where what sets share is frequent everywhere, their rare tokens are those they don't share.
+    """
+    own = shares.where("node = hub").select("hub", F.col("n").alias("hub_n"))  # the hub of a token has it too
+    near = shares.where("node <> hub").join(own, "hub").where(F.col("k") * 2 >= F.least(prefix_of("n", num, den), prefix_of("hub_n", num, den)))
+    low = lowest.where("node <> hub").groupBy("node", "n", "hub").agg(F.count("*").alias("k")).where(F.col("k") * 2 >= F.least(F.col("n"), F.lit(LOWEST)))
+    return near.select(F.col("node").alias("u"), F.col("hub").alias("v")).union(low.select("node", "hub"))
+
+
+def grown(clusters: DataFrame, lowest: DataFrame) -> DataFrame:
+    """clusters(id, component), joined by each set that has half its lowest tokens in common with one cluster: for each token the one that most holders are of."""
+    own = lowest.select("node", "n", "token").join(sized(clusters.withColumnRenamed("id", "node")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = table(own, "held")
+    main = own.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("kinds"))
+    main = table(main.where("kinds > 1").drop("kinds"), "main")
+    near = own.join(main, "token").groupBy("node", "n", "component", "main").agg(F.count("*").alias("k")).where(F.col("k") * 2 >= F.least(F.col("n"), F.lit(LOWEST))).where("component <> main")
+    out = table(connected_components(clusters.select(F.col("id").alias("u"), F.col("component").alias("v")).union(near.select("node", "main"))), "clusters")
+    free(own, main, clusters)
+    return out
 
 
 def prefix_pairs(rows: DataFrame, counts: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFrame:
@@ -338,11 +359,14 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     classes = table(each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.min_by("row_key", "row").alias("row_key"), F.count("*").alias("c"), F.first("n").alias("n")), "classes")
     again = each.select("node", "row").join(sized(table(classes.where("c > 1").select(F.col("node").alias("c_node"), F.col("row").alias("c_row")), "repeated")), (F.col("node") == F.col("c_node")) & (F.col("row") != F.col("c_row")), "left_semi")
     wide = each.where(F.col("n") >= least).join(sized(table(again.select("row"), "again")), "row", "left_anti")
-    rows = shared_tokens(wide)
+    rows = shared_tokens(wide, "rare")
     shares = table(rows.groupBy("node", "n", "hub").agg(F.count("*").alias("k")), "shares")
-    clusters = table(connected_components(near_hubs(shares, num, den)), "clusters")
+    lowest = shared_tokens(wide, "low")
+    clusters = table(connected_components(near_hubs(shares, lowest, num, den)), "clusters")
+    for _ in range(ROUNDS):
+        clusters = grown(clusters, lowest)
     pairs = table(prefix_pairs(rows, shares.groupBy("node", "n").agg(F.sum("k").alias("c")), clusters, num, den), "prefix_pairs")
-    free(rows, shares)
+    free(rows, shares, lowest)
     ends = table(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
     sets = sets_of(docs, classes, table(clusters.select(F.col("id").alias("node")).union(ends).distinct(), "nodes"), k)
     # The orders meet: what the rare tokens let pass must pass upwards and downwards too.
