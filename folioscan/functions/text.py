@@ -27,18 +27,15 @@ def let(value: Column, then) -> Column:
 
 
 def spans(text: Column, p: str, groups: int = 0) -> Column:
-    """Leftmost non-overlapping matches of p: array of (start, end, found, g1, g2). A match's start is the length of all before it.
+    """Leftmost non-overlapping matches of p: array of (start, end, found, g1, g2), the latter null beyond groups. A match's start is the length of all before it.
 
-    A fold over the matches and the stretches between them, in blocks: appending to one long array would copy it each time.
+    Texts without a match are searched once. Else a fold runs over the matches and the stretches between them, in blocks:
+    appending to one long array would copy it each time.
     """
-    every = [F.regexp_extract_all(text, F.lit(p), F.lit(i if i <= groups else 0)) for i in range(3)]
-    gaps = F.transform(F.split(text, p, -1), F.length)
-    zipped = F.arrays_zip(gaps.alias("gap"), *(e.alias(n) for e, n in zip(every, ("m", "g1", "g2"))))
-    rows = F.transform(zipped, lambda x: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), x["g1"].alias("g1"), x["g2"].alias("g2")))
 
     def grow(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
+        end = start + F.length(x["m"])
         row = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("found"), x["g1"].alias("g1"), x["g2"].alias("g2"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
 
@@ -49,14 +46,27 @@ def spans(text: Column, p: str, groups: int = 0) -> Column:
     def cut(r: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / BLOCK).cast("int")), lambda i: F.slice(r, i * BLOCK + 1, F.lit(BLOCK)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.filter(F.flatten(F.aggregate(let(rows, cut), start, block, lambda acc: acc["out"])), lambda s: s["found"].isNotNull())
+    def placed(m: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, p, -1), F.length), 1, F.size(m))  # what follows the last match is of no use
+        more = [F.regexp_extract_all(text, F.lit(p), F.lit(i)).alias(f"g{i}") for i in range(1, groups + 1)]
+        rows = F.arrays_zip(gaps.alias("gap"), m.alias("m"), *more)
+        if groups < 2:
+            none = [F.lit(None).cast("string").alias(f"g{i}") for i in range(groups + 1, 3)]
+            rows = F.transform(rows, lambda x: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), *(x[f"g{i}"].alias(f"g{i}") for i in range(1, groups + 1)), *none))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.flatten(F.aggregate(let(rows, cut), start, block, lambda acc: acc["out"]))
+
+    return let(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(F.array().cast(SPAN)))
 
 
 def blank(text: Column, p: str) -> Column:
     """Matches of p as spaces of the same length."""
-    parts, found = F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    return F.array_join(F.zip_with(parts, F.transform(found, lambda m: F.regexp_replace(m, "(?s).", " ")), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    def filled(found: Column) -> Column:
+        spaces = F.transform(found, lambda m: F.rpad(F.lit(" "), F.length(m), " "))
+        return F.array_join(F.zip_with(F.split(text, p, -1), spaces, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return let(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda found: F.when(F.size(found) > 0, filled(found)).otherwise(text))
 
 
 def around(text: Column, start: Column, end: Column, width: int) -> Column:

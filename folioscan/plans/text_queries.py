@@ -20,24 +20,14 @@ def check_query(name: str, run) -> None:
 
 for name, check in C.CHECKS.items():
     check_query(name, lambda docs, check=check: C.run(check, docs))
-check_query("double_spaces", C.multi_space)
 check_query("quote_style_consistency", C.quote_style)
 check_query("english_spelling_consistency", C.spelling)
 check_query("acronym_definition", C.acronyms)
 
 
 def bundle(*names: str):
-    """The checks' rows as one table of (doc_id, check_id, seq)."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = None
-        for n in names:
-            df = Q[n](spark, sf_dir)
-            rows = df.select("doc_id", "check_id", (F.col("seq") if "seq" in df.columns else F.lit(1)).cast("long").alias("seq"))
-            out = rows if out is None else out.unionByName(rows)
-        return out
-
-    return run
+    """The checks' rows as one table of (doc_id, check_id, seq), from one scan."""
+    return lambda spark, sf_dir: C.findings(manuscripts(spark, sf_dir).select("doc_id", "body"), *names).select("doc_id", "check_id", F.col("seq").cast("long").alias("seq"))
 
 
 TYPOGRAPHY = ("typo_en_dash", "typo_number_unit", "typo_percent_degree")
