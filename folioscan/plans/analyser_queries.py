@@ -54,11 +54,9 @@ BIB = """select o_custkey as doc_id, o_orderkey as pos, o_orderkey % 5 as kind,
 rel("infer_ref_type", lambda r: r.select("doc_id", "pos", A.ref_type().alias("type")), BIB, "orders", " select doc_id, pos, case when journal is not null and publisher is not null then 'chapter' when journal is not null then 'article' when publisher is not null then 'book' when url is not null then 'web' else 'other' end as type from r")
 _TYPE = "case when journal is not null and publisher is not null then 'chapter' when journal is not null then 'article' when publisher is not null then 'book' when url is not null then 'web' else 'other' end"
 _SCHEMA = "(values " + ", ".join(str(x) for x in A.schema_rows()) + ") sc(style, type, field, level, n)"
-rel("completeness_fields", A.completeness, BIB + " where o_orderkey % 3 = 0", "orders", f""", t as (select *, {_TYPE} as type, (['IEEE', 'APA', 'MLA', 'HARVARD', 'VANCOUVER'])[kind + 1] as style from r),
+rel("completeness_fields", A.completeness, BIB, "orders", f""", t as (select *, {_TYPE} as type, (['IEEE', 'APA', 'MLA', 'HARVARD', 'VANCOUVER'])[kind + 1] as style from r),
 f as (select doc_id, pos, style, type, unnest([{{'f': 'authors', 'v': author}}, {{'f': 'title', 'v': title}}, {{'f': 'container_title', 'v': journal}}, {{'f': 'pub_date', 'v': year}}, {{'f': 'volume', 'v': volume}}, {{'f': 'issue', 'v': null}}, {{'f': 'pages', 'v': pages}}, {{'f': 'doi', 'v': doi}}, {{'f': 'url', 'v': url}}, {{'f': 'publisher', 'v': publisher}}]) as x from t)
 select doc_id, pos, f.style, f.type, x.f as field, case level when 'required' then 'missing' else 'suspicious' end as issue_type from f join {_SCHEMA} on sc.style = f.style and sc.type = f.type and sc.field = x.f where coalesce(trim(x.v), '') = ''""")
-# Every entry; the SQL still covers a third of them.
-Q["completeness_fields"] = lambda s, d: A.completeness(select(s, d, BIB, "orders"))
 _FMT = """, t as (select *, (['IEEE', 'APA', 'MLA', 'HARVARD', 'VANCOUVER'])[kind + 1] as style, %s as type from r)
 select doc_id, pos, style, issue from (
   select *, unnest([
@@ -132,21 +130,14 @@ def _union(*parts):
     return " union all ".join(f"select doc_id, {i} as check_no, '{c}' as \"check\", pos, {f} as field from ({O[q]})" for i, (c, q, f) in enumerate(parts))
 
 
-_PARTS = (("ordering", "ordering_alpha", "''"), ("doi", "doi_missing", "''"), ("journal_casing", "journal_casing_consistency", "''"), ("completeness", "completeness_third", "field"))
+_PARTS = (("ordering", "ordering_alpha", "''"), ("doi", "doi_missing", "''"), ("journal_casing", "journal_casing_consistency", "''"), ("completeness", "completeness_fields", "field"))
 
 
 def entries(spark, sf_dir):
-    """Every entry; the SQL below still covers a third of them."""
     return select(spark, sf_dir, BIB, "orders")
 
 
-O["completeness_third"] = O["completeness_fields"]
-for _q in ("ordering_alpha", "doi_missing", "journal_casing_consistency"):
-    O[f"{_q}_third"] = O[_q].replace(f"with r as ({BIB})", f"with r as ({BIB} where o_orderkey % 3 = 0)")
-_THIRD = tuple((c, q if q.endswith("third") else f"{q}_third", f) for c, q, f in _PARTS)
 Q["reference_quality_issues"] = lambda s, d: A.quality_issues(entries(s, d))
-O["reference_quality_issues"] = f"select doc_id, row_number() over (partition by doc_id order by check_no, pos, field) as seq, \"check\", pos, field from ({_union(*_THIRD)}) qualify seq <= 50"
+O["reference_quality_issues"] = f"select doc_id, row_number() over (partition by doc_id order by check_no, pos, field) as seq, \"check\", pos, field from ({_union(*_PARTS)}) qualify seq <= 50"
 Q["all_quality_issues"] = lambda s, d: A.quality_issues(entries(s, d), styled(select(s, d, RAW, "orders")), None)
-O["all_quality_issues"] = f"select doc_id, row_number() over (partition by doc_id order by check_no, pos, field) as seq, \"check\", pos, field from ({_union(*_THIRD, ('style_conformity', 'style_conformity', chr(39) * 2))})"
-for _q in [k for k in O if k.endswith("_third")]:
-    del O[_q]
+O["all_quality_issues"] = f"select doc_id, row_number() over (partition by doc_id order by check_no, pos, field) as seq, \"check\", pos, field from ({_union(*_PARTS, ('style_conformity', 'style_conformity', chr(39) * 2))})"

@@ -90,7 +90,7 @@ relation("equation_labels", N.equation_labels, WORDS, "lineitem", r""", w as (se
 l as (select *, regexp_extract(text, '^\(([A-Za-z]?\d+[A-Za-z]?(?:\.\d+)?)\)$', 1) as lab from w where rn = 1 and x0 > 0.35 * page_w and y0 >= 50 and y1 <= page_h - 50 and not regexp_matches(text, '^\((?:19|20)\d{2}\)$')),
 n as (select *, case when regexp_matches(lab, '\.') then null else regexp_extract(lab, '\d+')::int end as number from l where lab <> '' and (prev is null or x0 - prev >= 10))
 select doc_id, number, text as label, page_number, x0, y0 from n where number is null or number between 1 and 200""")
-relation("equation_label_parse", lambda r: r.select("doc_id", "label").withColumn("number", N.label_number(F.col("label"))), "select l_orderkey as doc_id, l_linenumber, concat(case when l_partkey % 3 = 0 then 'A.' when l_partkey % 3 = 1 then 'B' else '' end, cast(l_partkey % 300 as varchar(9)), case when l_suppkey % 3 = 0 then 'a' when l_suppkey % 3 = 1 then '.2' else '' end) as label from lineitem", "lineitem", r"select doc_id, label, case when regexp_matches(label, '\.2$') then null else regexp_extract(label, '\d+')::int end as number from r where l_linenumber = 1")
+relation("equation_label_parse", lambda r: r.select("doc_id", "label").withColumn("number", N.label_number(F.col("label"))), "select l_orderkey as doc_id, l_linenumber, concat(case when l_partkey % 3 = 0 then 'A.' when l_partkey % 3 = 1 then 'B' else '' end, cast(l_partkey % 300 as varchar(9)), case when l_suppkey % 3 = 0 then 'a' when l_suppkey % 3 = 1 then '.2' else '' end) as label from lineitem", "lineitem", r"select doc_id, label, case when regexp_matches(label, '\.2$') then null else regexp_extract(label, '\d+')::int end as number from r")
 relation("equation_dedupe", N.equation_dedupe, "select l_orderkey as doc_id, case when l_partkey % 4 = 0 then null else l_linenumber % 4 end as number, month(l_shipdate) as page_number, l_partkey * 100000 + l_suppkey as y0 from lineitem", "lineitem", "select doc_id, number, page_number, y0 from r qualify number is null or row_number() over (partition by doc_id, number order by page_number, y0) = 1")
 Q["equation_context"] = lambda spark, sf_dir: N.equation_context(manuscripts(spark, sf_dir).select("doc_id", F.concat(F.lit("("), F.col("doc_id") % 5 + 1, F.lit(")")).alias("label"), F.col("full_text").alias("page_text")))
 O["equation_context"] = rf"""with {D.BODY}, e as (select doc_id, '(' || (doc_id % 5 + 1) || ')' as label, full_text as t from d), p as (select *, length(t) - instr(reverse(t), reverse(label)) - length(label) + 1 as i from e)

@@ -85,10 +85,10 @@ def highlight_spans(spark, sf_dir):
 
 
 Q["highlight_spans"] = highlight_spans
-O["highlight_spans"] = rf"""with {D.BODY}, a as (select doc_id, list_filter(string_split_regex(full_text, '\s+'), lambda x: x <> '') as w from d), b as (select doc_id, w[greatest(len(w) - 79, 1):] as w from a),
-c as (select *, instr(lower(array_to_string(w, ' ')), 'doe, j. (2019)') - 1 as st from b), e as (select doc_id, st, w, unnest(range(len(w))) as pos from c where st >= 0),
-f as (select doc_id, st, pos, w[pos + 1] as word, (coalesce(list_sum(list_transform(w[1:pos], lambda x: length(x) + 1)), 0))::bigint as s from e)
-select doc_id, pos, word from f where s < st + 14 and s + length(word) > st"""
+O["highlight_spans"] = rf"""with {D.BODY}, a as (select doc_id, list_filter(string_split_regex(full_text, '\s+'), lambda x: x <> '') as w from d),
+c as (select *, array_to_string(w, ' ') as t, instr(lower(array_to_string(w, ' ')), 'doe, j. (2019)') - 1 as st from a),
+e as (select doc_id, w, unnest(range(length(regexp_replace(substr(t, 1, st), '[^ ]', '', 'g')), length(regexp_replace(substr(t, 1, st + 14), '[^ ]', '', 'g')) + 1)) as pos from c where st >= 0)
+select doc_id, pos, w[pos + 1] as word from e"""
 ISSUES = "select o_custkey as doc_id, o_orderkey as pos, element_at(array('journal_casing', 'style_conformity', 'completeness', 'asterikError', 'doi', 'ordering', 'consistencyError', 'other'), cast(o_orderkey % 8 as int) + 1) as check from orders"
 Q["reference_checks_route"] = lambda s, d: V.routed(select(s, d, ISSUES.replace(" as check ", " as check_ "), "orders").withColumnRenamed("check_", "check")).select("doc_id", "pos", "output")
 O["reference_checks_route"] = "select o_custkey as doc_id, o_orderkey as pos, (['style_compliance', 'style_compliance', 'metadata_completeness', 'metadata_completeness', 'doi_url', 'sequential_ordering', 'field_consistency'])[o_orderkey % 8 + 1] as output from orders where o_orderkey % 8 < 7"

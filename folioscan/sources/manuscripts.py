@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,18 @@ from documents"""
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+#: Bytes of files whose rows may be dealt out anew; larger inputs come in enough splits.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of a few small files, dealt to all cores: a file of one row group is one task's work, whatever is done to its rows. Larger scans, and those of as many splits as cores, stay as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,12 +47,10 @@ def select(spark: SparkSession, sf_dir: str, query: str, *names: str) -> DataFra
 def _bound(spark: SparkSession, sf_dir: str, query: str, names: tuple[str, ...]) -> DataFrame:
     for n in names:
         query = _from(query, n)
-    return spark.sql(query, **{n: load(spark, sf_dir, n) for n in names})
+    return spark.sql(query, **{n: spread(load(spark, sf_dir, n)) for n in names})
 
 
 def _from(query: str, name: str) -> str:
-    import re
-
     return re.sub(rf"\b(from|join)\s+{name}\b", rf"\1 {{{name}}}", query)
 
 
@@ -46,4 +58,5 @@ def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, full_text, body (before the references)."""
     from folioscan.functions.text import body_text
 
-    return select(spark, sf_dir, MANUSCRIPTS, "documents").withColumn("body", body_text(F.col("full_text")))
+    found = spark.sql(_from(MANUSCRIPTS, "documents"), documents=spread(load(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.withColumn("body", body_text(F.col("full_text")))
