@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.sources.manuscripts import spread
+
 #: Rows of one long column that may be broadcast (about 32 MB); a longer list is joined by shuffling.
 BROADCAST_ROWS = 4_000_000
 #: Folders of tables that this process wrote and nobody has deleted.
@@ -85,7 +87,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

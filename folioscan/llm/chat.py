@@ -4,9 +4,10 @@ States are a role's first line and its further lines, for each role. A line show
 its opening words name, if any) and a few features of its text. Transition and emission counts may be learned from
 labelled turns; the defaults hold without.
 
-Viterbi's recursion is a product of max-plus matrices, so a transcript is cut into blocks of lines, each block's matrix is
-computed by itself, matrices are multiplied in levels of FAN, and the best path's states at the block borders are found
-level by level downwards. A transcript with a third of all lines is spread over as many tasks as it has blocks.
+Viterbi's recursion is a product of max-plus matrices, so a transcript is cut into blocks of LINES lines, each block's
+matrix is computed by itself, matrices are multiplied in levels of FAN, and the best path's states at the block borders are
+found level by level downwards. A transcript with a third of all lines, or a turn with that many, is spread over as many
+tasks as it has blocks; only a summary of each block is gathered by transcript.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from ._shared import Batches, batches, ddl, emit, table
 ROLES = ("system", "user", "assistant")
 K = 2 * len(ROLES)  # role r opens in state 2 r and goes on in 2 r + 1
 START = K
-BLOCK_BITS, FAN = 6, 64
+LINES, FAN = 256, 64
+#: Turns that are numbered in one place have the same number but for so many bits.
+TURN_BITS = 6
 # Opening words by role. A marker ends in a colon or closes a bracket, or is a heading of its own.
 MARKERS = {
     "system": ("system", "sys", "instructions", "context"),
@@ -214,29 +217,46 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
 
 
 def transcripts(turns: DataFrame) -> DataFrame:
-    """Labelled turns (conv_id, turn, role, text) as unlabelled transcript lines: conv_id, block, pos, line, gap.
+    """Labelled turns (conv_id, turn, role, text) as unlabelled transcript lines: conv_id, block, pos, line, gap, turn.
 
-    A blank line ends each turn. Four turns in five open with a marker, in one of several spellings by a hash of conv_id and turn; the others have none.
-    Null texts are one empty line. Rows that repeat a turn follow each other. Null turns come first.
+    A blank line ends each turn. Four turns in five open with a marker, in one of several spellings by a hash of conv_id and
+    turn; the others have none. pos numbers the lines of a transcript from 0. Turns go by their number, of whatever sign and
+    with whatever gaps; rows without a number come first, and they, like rows that repeat a number, in an order by role and
+    text. Null texts are one empty line, null roles have no marker, a null conv_id is a transcript like others.
     """
     h = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(10))
     spelled = F.when(F.col("role") == "user", F.element_at(F.array(*map(F.lit, ("User: ", "Human: ", "### Question\n", "**You**: "))), (h % 4 + 1).cast("int")))
     spelled = spelled.when(F.col("role") == "assistant", F.element_at(F.array(*map(F.lit, ("Assistant: ", "AI: ", "### Answer\n", "**Bot**: "))), (h % 4 + 1).cast("int")))
     spelled = spelled.when(F.col("role") == "system", F.lit("[system] "))
-    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.concat(F.when(h < 8, F.coalesce(spelled, F.lit(""))).otherwise(F.lit("")), F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"))
-    lines = F.split("text", "\n", -1)
+    content = F.xxhash64("role", "text")
+    chunk = F.when(F.col("turn").isNull(), F.lit(-(1 << 62)) + F.pmod(content, F.lit(1024))).otherwise(F.shiftright("turn", TURN_BITS))
+    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    written = F.concat(F.when(h < 8, F.coalesce(spelled, F.lit(""))).otherwise(F.lit("")), F.coalesce("text", F.lit("")), F.lit("\n"))
+    t = t.withColumn("chunk", chunk).withColumn("content", content).withColumn("written", written)
+    t = t.withColumn("n", F.length("written") - F.length(F.replace("written", F.lit("\n"), F.lit(""))) + 1)
+    # Lines before a row: within its chunk, and in the chunks before.
+    ahead = Window.partitionBy("conv_id", "chunk").orderBy(F.col("turn").asc_nulls_first(), "content", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy("c_id").orderBy("c_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = t.groupBy(F.col("conv_id").alias("c_id"), F.col("chunk").alias("c_chunk")).agg(F.sum("n").alias("lines"))
+    chunks = table(chunks.withColumn("above", F.coalesce(F.sum("lines").over(above), F.lit(0))).drop("lines"), "chunks")
+    t = t.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(chunks, F.col("conv_id").eqNullSafe(F.col("c_id")) & (F.col("chunk") == F.col("c_chunk")))
+    lines = F.split("written", "\n", -1)
     pairs = F.zip_with(lines, F.concat(F.array(F.lit("")), lines), lambda x, before: F.struct(x.alias("line"), (before == "").alias("gap")))
-    each = t.select("conv_id", F.shiftright("turn", BLOCK_BITS).alias("block"), F.posexplode(pairs).alias("at", "x"), "turn").where("x.line is not null")
-    gap = F.when(F.col("at") == 0, F.col("turn") > 0).otherwise(F.col("x.gap"))
-    return each.select("conv_id", "block", (F.shiftleft("turn", 24) + F.col("at")).alias("pos"), F.col("x.line").alias("line"), gap.alias("gap"))
+    each = t.select("conv_id", "turn", (F.col("above") + F.col("ahead")).alias("first"), F.posexplode(pairs).alias("at", "x")).where("x.line is not null")
+    pos = F.col("first") + F.col("at")
+    gap = F.when(F.col("at") == 0, F.col("first") > 0).otherwise(F.col("x.gap"))
+    return each.select("conv_id", F.floor(pos / LINES).cast("long").alias("block"), pos.alias("pos"), F.col("x.line").alias("line"), gap.alias("gap"), "turn")
 
 
 def learn(turns: DataFrame) -> Model:
-    """A model from labelled turns: counts over all of them, of role pairs and of line features (a bounded number of each)."""
+    """A model from labelled turns: counts over all of them, of role pairs and of line features (a bounded number of each).
+
+    Turns without a number are in no pair; other roles, null ones too, and an empty table add nothing. Repeated rows count again.
+    """
     t = turns.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).alias("r")).where("r > 0")
     n = t.select(F.col("conv_id").alias("n_id"), (F.col("turn") - 1).alias("n_turn"), F.col("r").alias("n_r"))
     pairs = {(int(x.r) - 1, int(x.n_r) - 1): x["count"] for x in t.join(n, (F.col("conv_id") == F.col("n_id")) & (F.col("turn") == F.col("n_turn"))).groupBy("r", "n_r").count().collect()}
-    pairs |= {(-1, int(x.r) - 1): x["count"] for x in t.where("turn = 0").groupBy("r").count().collect()}
+    pairs |= {(-1, int(x.r) - 1): x["count"] for x in t.where("turn = 0").groupBy("r").count().collect()}  # turns are numbered from 0
     seen = batches({"role": pa.int64(), "opens": pa.int64(), "f": pa.int64(), "v": pa.int64(), "n": pa.int64()})
 
     def count(it: Batches) -> Batches:
@@ -260,25 +280,20 @@ def learn(turns: DataFrame) -> Model:
 def parse(lines: DataFrame, model: Model) -> DataFrame:
     """Turns of transcripts: conv_id, start (pos of its first line), role, n_lines, rendered.
 
-    lines: conv_id, block, pos, line, gap (see transcripts()). A turn is rendered as <|role|>, its lines without the marker, and
-    <|end|>, each on lines of its own. Lines that repeat a pos stay, in any order. Empty in, empty out.
+    lines: conv_id, block, pos, line, gap (see transcripts()); other columns are ignored. A turn is rendered as <|role|>, its
+    lines without the marker, and <|end|>, each on lines of its own; it is one string, so one row holds it. Lines that repeat a
+    pos stay, in any order; a null line is an empty one, a null conv_id is a transcript like others. Empty in, empty out.
     """
+    lines = lines.select("conv_id", "block", "pos", F.coalesce("line", F.lit("")).alias("line"), F.coalesce("gap", F.lit(False)).alias("gap"))
     found = table(decode(lines, model), "states")
     opens = F.col("state") % 2 == 0
+    # A block's first lines may belong to a turn that opened in a block before: the last one that opened there, from a row for each block.
+    above = Window.partitionBy("b_id").orderBy("b_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = found.groupBy(F.col("conv_id").alias("b_id"), F.col("block").alias("b_block")).agg(F.max(F.when(opens, F.col("pos"))).alias("last"))
+    blocks = table(blocks.select("b_id", "b_block", F.max("last").over(above).alias("above")), "blocks")
     here = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = table(found.withColumn("start", F.max(F.when(opens, F.col("pos"))).over(here)), "starts")
-    # A block's first lines may belong to a turn that opened in a block before.
-    last = table(marked.groupBy("conv_id", "block").agg(F.max("start").alias("last")), "last")
-    open_ = table(marked.where("start is null").select("conv_id", "block", F.col("block").alias("own")).distinct(), "open")
-    closed, ends = None, last.select(F.col("conv_id").alias("l_id"), F.col("block").alias("l_block"), "last")
-    while not open_.isEmpty():
-        step = table(open_.withColumn("block", F.col("block") - 1).join(ends, F.col("conv_id").eqNullSafe(F.col("l_id")) & (F.col("block") == F.col("l_block")), "left").select("conv_id", "block", "own", "last"), "step")
-        done = step.where("last is not null").select("conv_id", "own", "last")
-        closed = done if closed is None else closed.union(done)
-        open_ = table(step.where("last is null and block >= 0").select("conv_id", "block", "own"), "open")
-    if closed is not None:
-        c = closed.select(F.col("conv_id").alias("c_id"), F.col("own").alias("c_block"), F.col("last").alias("before"))
-        marked = marked.join(c, F.col("conv_id").eqNullSafe(F.col("c_id")) & (F.col("block") == F.col("c_block")), "left").withColumn("start", F.coalesce("start", "before"))
+    marked = found.withColumn("start", F.max(F.when(opens, F.col("pos"))).over(here)).join(blocks, F.col("conv_id").eqNullSafe(F.col("b_id")) & (F.col("block") == F.col("b_block")))
+    marked = marked.withColumn("start", F.coalesce("start", "above"))
     role = F.element_at(F.array(*map(F.lit, ROLES)), F.floor(F.min_by("state", "pos") / 2).cast("int") + 1)
     out = batches({"conv_id": pa.int64(), "start": pa.int64(), "role": pa.string(), "n_lines": pa.int64(), "rendered": pa.string()})
     turns = marked.groupBy("conv_id", "start").agg(role.alias("role"), F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("lines"))
