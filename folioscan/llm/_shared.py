@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +18,8 @@ from folioscan.sources.manuscripts import spread
 BROADCAST_ROWS = 4_000_000
 #: Folders of tables that this process wrote and nobody has deleted.
 written: list[str] = []
+#: Edges whose components one task finds (16 MB); more take rounds of exchanges.
+EDGES = 1_000_000
 #: Rows of whole texts that pass to a Python worker at once.
 BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
@@ -150,10 +153,47 @@ def has(found: np.ndarray, values: np.ndarray) -> np.ndarray:
     return found[np.minimum(np.searchsorted(found, values), len(found) - 1)] == values
 
 
+def trim() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def parts_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id in reach) of the ids of edges."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, up = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while True:
+        x, y = up[a], up[b]
+        apart = x != y
+        if not apart.any():
+            return ids, ids[up]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up != up[up]).any():
+            up = up[up]
+
+
+def components_at_once(edges: DataFrame) -> DataFrame:
+    """connected_components() of a table of at most EDGES edges, in one task."""
+    out = batches({"id": pa.int64(), "component": pa.int64()})
+
+    def run(it: Batches) -> Batches:
+        held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in it if b.num_rows]
+        if held:
+            yield emit(out, *parts_of(*map(np.concatenate, zip(*held))))
+        trim()
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, ddl(out))
+
+
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """edges(u, v) of longs -> (id, component) for every id of an edge; component is the smallest id in reach.
 
-    Alternates large-star and small-star steps. The smallest neighbours are tables of their own: broadcast if they are few,
+    Up to EDGES edges, counted, one task finds them. Beyond, it alternates large-star and small-star steps. The smallest neighbours are tables of their own: broadcast if they are few,
     else both sides of the join are exchanged for it and a hub with very many neighbours is split by adaptive execution.
     """
 
@@ -173,6 +213,8 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     e = table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if e.count() <= EDGES:
+        return components_at_once(e)
     before = mark(e)
     for _ in range(rounds):
         if not before[0]:

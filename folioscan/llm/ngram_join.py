@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Batches, as_long, batches, by_rows, connected_components, ddl, emit, free, only, row_key, sized, table, texts
+from ._shared import Batches, as_long, batches, by_rows, connected_components, ddl, emit, free, only, row_key, sized, table, texts, trim
 
 U = np.uint64
 #: Odd multipliers, one for each word of a shingle and then for each hash of a band or an order.
@@ -126,6 +126,7 @@ def common_words(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
                     held, rows = Counter(), 0
         if rows:
             yield flush()
+        trim()
 
     found = docs.select("text").mapInArrow(count, ddl(out)).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total * RARE / 2)).toArrow()
     words, n = (np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in found.column(i).chunks)]) for i in (0, 1))
@@ -161,6 +162,7 @@ def signatures(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, n
             if rows:
                 n, node, *lists = map(list, zip(*rows))
                 yield emit(out, b.column("doc_id"), b.column("row_key"), n, node, *(listed(x, out.field(i + 4).type) for i, x in enumerate(lists)))
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("row_key")).mapInArrow(run, ddl(out)).withColumn("row", F.monotonically_increasing_id())
 
@@ -176,6 +178,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> Da
             sets = [shingles(cache.of(x), k)[0].tobytes() for x in texts(b)]
             if sets:
                 yield emit(out, as_long(np.fromiter(map(xxhash.xxh3_64_intdigest, sets), U, len(sets))), sets)
+        trim()
 
     some = only(docs.select("text", row_key().alias("row_key")), wanted, "row_key").select("text")
     found = only(some.mapInArrow(run, ddl(out)), nodes, "node").groupBy("node").agg(F.first("tokens").alias("tokens"))
@@ -223,6 +226,8 @@ def links_of(sent: DataFrame, num: int, den: int) -> DataFrame:
             at = np.flatnonzero(cluster == c)
             if len(at) > 1:
                 out += [(node[at[i]], node[at[p]]) for i, p in enumerate(linked_parts([held[i] for i in at], num, den)) if i != p]
+        if len(node) > BLOCK // 2:
+            trim()
         return pa.table([pa.array(x, pa.int64()) for x in (zip(*out) if out else ([], []))], schema=links)
 
     return sent.groupBy("place", "i", "j").applyInArrow(meet, ddl(links))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import PATTERN
 from tokenizers import Tokenizer
 
-from ._shared import Batches, batches, ddl, emit, strings, table
+from ._shared import Batches, batches, ddl, emit, strings, table, trim
 
 CAPACITY = 1024
 #: Pieces of a length that are ranked in one place, about.
@@ -53,6 +54,12 @@ class Encoder:
         return self.whole(text) if self.slow.search(text) else np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One for each Python worker."""
+    return Encoder(path)
+
+
 def padded(total: int, capacity: int = CAPACITY) -> int:
     """Length of a sequence of total tokens: capacity, except at a power of two."""
     return total if total & (total - 1) == 0 else capacity
@@ -245,7 +252,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     out = batches(dict.fromkeys(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "head_crc32", "rest_crc32"), pa.int64()))
 
     def run(it: Batches) -> Batches:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         for b in it:
             rows = []
             for i, ids in zip(b.column("doc_id").to_pylist(), map(encoder.encode, strings(b))):
@@ -257,6 +264,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
                     rows.append((i, s, len(x) // 4, zlib.crc32(x[half:], head), n, head, zlib.crc32(x[half:])))
             if rows:
                 yield emit(out, *map(list, zip(*rows)))
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl(out))
 

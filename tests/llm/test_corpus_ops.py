@@ -34,9 +34,10 @@ def none(spark):
 
 @pytest.fixture()
 def shuffled(monkeypatch):
-    """No list is small enough to broadcast."""
+    """No list is small enough to broadcast, no graph for one task."""
     for m in (_shared,):
         monkeypatch.setattr(m, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(m, "EDGES", -1)
 
 
 def components(ids, links):
@@ -176,7 +177,9 @@ def test_linked_parts():
     assert part == [want[i] for i in range(40)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 10**6])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(_shared, "EDGES", at_once)
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)]
     got = {r.id: r.component for r in _shared.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
