@@ -27,7 +27,7 @@ from ._shared import Batches, batches, ddl, emit, strings
 from .ngram_join import ODD, WordHashes, shingles
 
 #: At most so many labelled rows are read to learn from.
-SAMPLE_ROWS = 4096
+SAMPLE_ROWS, SAMPLE_CHARS = 4096, 20_000
 
 # Cyrillic, Greek and other letters that look like Latin ones; letters without a decomposition; digits and
 # signs that stand for letters. l, i, 1 and | share one symbol since each is written for the others.
@@ -173,13 +173,17 @@ def held_out():
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """A model from at most rows of the labelled documents that are not held out. Null labels are passed over; of a doc_id labelled twice the larger label counts."""
+    """A model from at most rows of the labelled documents that are not held out, of at most SAMPLE_CHARS characters each; longer ones are scored, not learned from.
+
+    Null labels are passed over; of a doc_id labelled twice the larger label counts. Null texts are empty ones. Without
+    labels, or of one label alone, the fixed lexicon and curve hold.
+    """
     pick = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     pick = pick.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
     if not pick:
         return Model()
     few = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in pick], "l_id long, l_toxic int"))  # at most rows
-    got = docs.select(F.col("doc_id").cast("long"), "text").join(few, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "l_toxic").toArrow()
+    got = docs.select(F.col("doc_id").cast("long"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(few, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "l_toxic").toArrow()
     every = sorted(zip(got.column(0).to_pylist(), [x or "" for x in got.column(1).to_pylist()], got.column(2).to_pylist()))
     return fit([x[1] for x in every], [x[2] for x in every])
 
@@ -214,7 +218,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, that are not predicted toxic."""
+    """The rows of docs, all columns, that are not predicted toxic. Null and empty texts stay; repeated rows are judged alike; empty in, empty out."""
 
     def run(it: Batches) -> Batches:
         for b, s, _ in rate(it, model):
