@@ -6,6 +6,8 @@ an entry are projections; those within a document shuffle once by it.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +17,15 @@ from folioscan.operators.references import doi_of
 KINDS = ("article", "inproceedings", "inbook", "misc", "article")
 STYLES = ("IEEE", "APA", "MLA", "HARVARD", "VANCOUVER")
 # Required and recommended fields by style and type.
-_A, _T, _C, _D, _V, _I, _P, _O, _U, _H = "authors", "title", "container_title", "pub_date", "volume", "issue", "pages", "doi", "url", "publisher"
 SCHEMA = {
-    "IEEE": {"article": ((_A, _T, _C, _D, _V, _P), (_I, _O)), "book": ((_A, _T, _H, _D), (_O,)), "chapter": ((_A, _T, _C, _H, _D, _P), ()), "web": ((_A, _T, _D), (_U,)), "other": ((_A, _T, _D), ())},
-    "APA": {"article": ((_A, _T, _C, _D, _V), (_I, _P, _O)), "book": ((_A, _T, _H, _D), (_O,)), "chapter": ((_A, _T, _C, _D, _P), (_H,)), "web": ((_A, _T, _D), (_U,)), "other": ((_A, _T, _D), ())},
-    "MLA": {"article": ((_A, _T, _C, _D, _V, _P), (_I, _O)), "book": ((_A, _T, _H, _D), ()), "chapter": ((_A, _T, _C, _H, _D, _P), ()), "web": ((_A, _T, _D), (_U,)), "other": ((_A, _T, _D), ())},
-    "HARVARD": {"article": ((_A, _T, _C, _D, _V), (_I, _P)), "book": ((_A, _T, _H, _D), ()), "chapter": ((_A, _T, _C, _D, _P), (_H,)), "web": ((_A, _T, _D), (_U,)), "other": ((_A, _T, _D), ())},
-    "VANCOUVER": {"article": ((_A, _T, _C, _D, _V, _P), (_I, _O)), "book": ((_A, _T, _H, _D), ()), "chapter": ((_A, _T, _C, _H, _D, _P), ()), "web": ((_A, _T), (_D, _U)), "other": ((_A, _T), (_D,))},
+    "IEEE": {"article": (("authors", "title", "container_title", "pub_date", "volume", "pages"), ("issue", "doi")), "book": (("authors", "title", "publisher", "pub_date"), ("doi",)), "chapter": (("authors", "title", "container_title", "publisher", "pub_date", "pages"), ()), "web": (("authors", "title", "pub_date"), ("url",)), "other": (("authors", "title", "pub_date"), ())},
+    "APA": {"article": (("authors", "title", "container_title", "pub_date", "volume"), ("issue", "pages", "doi")), "book": (("authors", "title", "publisher", "pub_date"), ("doi",)), "chapter": (("authors", "title", "container_title", "pub_date", "pages"), ("publisher",)), "web": (("authors", "title", "pub_date"), ("url",)), "other": (("authors", "title", "pub_date"), ())},
+    "MLA": {"article": (("authors", "title", "container_title", "pub_date", "volume", "pages"), ("issue", "doi")), "book": (("authors", "title", "publisher", "pub_date"), ()), "chapter": (("authors", "title", "container_title", "publisher", "pub_date", "pages"), ()), "web": (("authors", "title", "pub_date"), ("url",)), "other": (("authors", "title", "pub_date"), ())},
+    "HARVARD": {"article": (("authors", "title", "container_title", "pub_date", "volume"), ("issue", "pages")), "book": (("authors", "title", "publisher", "pub_date"), ()), "chapter": (("authors", "title", "container_title", "pub_date", "pages"), ("publisher",)), "web": (("authors", "title", "pub_date"), ("url",)), "other": (("authors", "title", "pub_date"), ())},
+    "VANCOUVER": {"article": (("authors", "title", "container_title", "pub_date", "volume", "pages"), ("issue", "doi")), "book": (("authors", "title", "publisher", "pub_date"), ()), "chapter": (("authors", "title", "container_title", "publisher", "pub_date", "pages"), ()), "web": (("authors", "title"), ("pub_date", "url")), "other": (("authors", "title"), ("pub_date",))},
 }
 SMALL_WORDS = "a an the and but for nor or so yet at by in of off on out to up as if into onto upon with from over between through".split()
-PREFIXES = ("van der", "van den", "van de", "von der", "degli", "della", "del", "van", "von", "mac", "las", "les", "de", "di", "du", "da", "le", "la", "el", "al", "mc")
+PREFIXES = ("van der", "van den", "van de", "von der", "degli", "della", "del", "van", "von", "mac", "las", "les", "de", "di", "du", "da", "le", "la", "el", "al", "mc", "o'")
 REQUIRED = {"article": ("author", "journal", "title", "year"), "inproceedings": ("author", "booktitle", "title", "year"), "inbook": ("author", "publisher", "title", "year")}
 COMMON_FIELDS = ("title", "author", "year", "month", "note", "abstract")
 
@@ -68,10 +69,14 @@ def numeric_order(rows: DataFrame) -> DataFrame:
     return r.where("label is null or label <> expected")
 
 
+#: Characters that are one other character with marks, or a form of one, and that character.
+FOLDED = {chr(c): x for c in range(0x80, 0x10000) if not 0xAC00 <= c < 0xE000 and len(x := "".join(y for y in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(y))) == 1 and x != chr(c)}
+
+
 def fold_accents(c: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    plain = "aaaaaaceeeeiiiinooooouuuuyyszcrel"
-    return F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžčřěł", plain)
+    """Lower case without marks. Characters that decompose into several others, ligatures mostly, stay as they are."""
+    bare = F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), "".join(FOLDED), "".join(FOLDED.values()))
+    return F.lower(bare)
 
 
 def alpha_order(rows: DataFrame) -> DataFrame:

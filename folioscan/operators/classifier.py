@@ -87,7 +87,9 @@ def early_bare_year(t: Column) -> Column:
     return let(F.element_at(F.split(t, r"\(\d{4}\)", 2), 1), lambda before: ~F.contains(before, F.lit(",")) & (F.length(before) < F.length(t) * 0.45))
 
 
+# Fixed values.
 SENTENCE = r"\(?\d{4}\)?\.?\s+([A-Z][^.!?]{20,}?)[.\n]"
+# Fixed values.
 JOURNAL = r",\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){2,}),\s+\d+"
 FIRST_NAME = r"^.{1,30},\s+(\S+)"
 BRACKET, NO_BRACKET = Match(r"^\[\d+\]"), Not(Match(r"^\[\d+\]"))
@@ -96,9 +98,10 @@ AVAILABLE = Match(r"Available (?:at|from):", "i")
 WEB_QUOTE = All((QUOTED5, Match(r"https?://|www\."), Match(r"\b(?:Accessed|Retrieved)\b", "i"), NO_BRACKET, Not(AVAILABLE)))
 STANDARD = Match(r"(?:\b(?:ISO|IEC|ANSI(?:/\w+)?|AS/NZS|NZS|ASTM|IETF|RFC)\b[\s/\w.\-]*\d{4,}|\b(?:W3C|WCAG|IEEE\s+\d{3})\b)", "i")
 YEAR_PARENS = Match(r"\(\d{4}\)")
+# Fixed values.
 UNINVERTED = r'^([A-Z][\w\-]+)(?:\s+[A-Z]\.?)?\s+([A-Z][\w\-]+)\.\s*("|\b[A-Z])'
 
-#: (condition, styles that stay). Filters intersect; if none is left, all are.
+#: Fixed values: (condition, styles that stay). Filters intersect; if none is left, all are.
 FILTERS = (
     (BRACKET, ("IEEE", "Vancouver")),
     (Match(r"\d{4};\d+\(\d+\):\d+"), ("Vancouver",)),
@@ -118,8 +121,9 @@ FILTERS = (
     (All((STANDARD, NO_BRACKET)), ("APA", "MLA", "Harvard", "Vancouver")),
     (All((NO_BRACKET, YEAR_PARENS, Made(early_bare_year, r"not contains(regexp_split_to_array($t, '\(\d{4}\)')[1], ',') and length(regexp_split_to_array($t, '\(\d{4}\)')[1]) < length($t) * 0.45"), Not(Match(r"\(\d{4}\)\.\s+[A-Z]")))), ("Harvard",)),
 )
+# Fixed values.
 MEDIUM = r"\[(?:Internet|vle online|serial online|dissertation on the Internet|monograph on the Internet|homepage on the Internet|serial on the Internet)\]"
-#: (style, weight, condition).
+#: Fixed values: (style, weight, condition).
 RULES = (
     ("IEEE", 10.0, BRACKET),
     ("IEEE", 6.0, Match(r'"[^"]{10,}"')),

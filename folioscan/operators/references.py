@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from folioscan.functions.text import around, pattern, spans
 
 STYLES = ("numbered-bracket", "dot-number", "apa-style")
+# Fixed values.
 OPENERS = (r"^\s*\[(\d+)\]\s+(.+)", r"^\s*(\d+)\.\s+([A-Z].+)", r"^\s*([A-Z][^(\n]{2,120}\((?:19|20)\d{2}\)\s*\..+)")
-#: A line that another entry opens: the last alternative needs no text behind the period.
+#: A line that another entry opens: the last alternative needs no text behind the period.
 BREAKS = (OPENERS[0], OPENERS[1], r"^\s*[A-Z][^(\n]{2,120}\((?:19|20)\d{2}\)\s*\.", r"(?i)^\s*(?:Table|Figure|Fig\.)\s+\d+")
 CONTINUED_CHARS, CONTINUED_LINES = 600, 6
 

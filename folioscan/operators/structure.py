@@ -24,10 +24,13 @@ CODE = r"\b(?:while|do|then|else|end\s+if|end\s+for|end\s+while)\b"
 TRANSITION = r"^\s*(?:First|Second|Third|Fourth|Fifth|Moreover|However|Furthermore|Specifically|Therefore|In\s+addition|Last),"
 ROMAN = r"^(?:M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3}))\.?$"
 MATH = r"(?<=[\s\d])[-+](?=[\s\d])|(?<=[\s\d])=(?=[\s\d])|\b\d+\s*[=+]\s*\d+|[A-Za-z]\s*=\s*[A-Za-z]|[Ͱ-Ͽ←-⇿∀-⋿]|\\frac|\\sum|\\int|\bsin\b|\bcos\b|\btan\b|\d+\s*/\s*\d+"
+# Fixed values.
 CAPTION_VERBS = r"^(?:shows?|presents?|illustrates?|depicts?|compares?|lists?|gives?|provides?|reports?|displays?|summarizes?|contains?|includes?|describes?)"
 BREAK = r"^\s*(?:\d+\.?\s+)?(?:introduction|keywords?|index\s+terms?|related\s+work|background|method|proposed|experiment|result|conclusion|discussion|references?|bibliography|acknowledgement)\s*$"
 ABSTRACT_HEADER, ABSTRACT_INLINE = r"^\s*a(?:\s+b\s+s\s+t\s+r\s+a\s+c\s+t|bstract)\s*$", r"^\s*abstract\s*[—–\-:]\s*(.+)"
+# Fixed values.
 KEYWORD_LINE = r"(?:keywords?|index\s+terms?|key\s+words?)\s*[—–\-:\s]\s*(.+)"
+# Fixed values.
 AFFILIATION = r"@|\b(?:Univ(?:ersity)?|Dept\.?|Department|Institut(?:e|ion)?|School|Laborator(?:y|ies)|College|Center|Centre|Faculty|Division|Research|Academy|Technology|Corporation|Association|Member|Fellow|IEEE|ACM)\b|^\s*\d{5,}"
 
 

@@ -6,10 +6,12 @@ needs each document's rows in the checks' order, one shuffle by document.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Check id, name, category, whether it needs no verification, the detector's confidence. Order is the candidates' order.
@@ -116,9 +118,6 @@ def verify(c: DataFrame, provider: Provider) -> DataFrame:
 
 def unwrap(raw: str) -> list[dict]:
     """The list of decisions in a model's answer: fences stripped, the first list inside an object; [] if it isn't JSON."""
-    import json
-    import re
-
     try:
         got = json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", raw.strip()))
     except ValueError:
@@ -128,6 +127,15 @@ def unwrap(raw: str) -> list[dict]:
     return [x for x in got if isinstance(x, dict)] if isinstance(got, list) else []
 
 
+def unwrapped(raw: Column) -> Column:
+    """unwrap() of a column: each decision as JSON."""
+
+    def run(answers: pd.Series) -> pd.Series:
+        return answers.map(lambda a: [] if a is None else [json.dumps(x) for x in unwrap(a)])
+
+    return F.pandas_udf(run, "array<string>")(raw)
+
+
 def decided(c: DataFrame, decisions: DataFrame) -> DataFrame:
     """Candidates with their decision; VERIFIER_FAILED and 0.5 where none came back."""
     d = decisions.select("doc_id", "candidate_id", "decision", "confidence")

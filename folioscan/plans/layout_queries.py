@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscan.operators import references as R
 from folioscan.operators import structure as S
+from folioscan.operators.verify import unwrapped
 from folioscan.sources import layout as L
 from folioscan.sources.manuscripts import load, manuscripts, select
 
@@ -169,11 +170,8 @@ O["merge_issues"] = f"with r as ({_SRC}), e as ({O['enrich_refs'].split(') selec
 
 
 def llm_json_unwrap(spark, sf_dir):
-    from folioscan.operators.verify import unwrap
-
-    f = F.udf(lambda s: len(unwrap(s)), "int")
     raw = F.when(F.col("o_orderkey") % 3 == 0, '```json\n[{"candidate_id":"A"}]\n```').when(F.col("o_orderkey") % 3 == 1, '{"results":[{"candidate_id":"A"},{"candidate_id":"B"}]}').otherwise("no json")
-    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), raw.alias("raw")).select("doc_id", f("raw").alias("n"))
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), raw.alias("raw")).select("doc_id", F.size(unwrapped(F.col("raw"))).alias("n"))
 
 
 Q["llm_json_unwrap"] = llm_json_unwrap

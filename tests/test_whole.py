@@ -1,9 +1,11 @@
 """Queries cover every row and the whole text of their tables."""
 
 import os
+import unicodedata
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from folioscan.plans import report_queries
 from folioscan.plans.catalog import ORACLES, QUERIES
@@ -62,3 +64,21 @@ def test_highlights_early_words(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, full_text string")
     got = sorted(tuple(r) for r in report_queries.highlighted(df, "doe, j. (2019)").collect())
     assert got == [(0, 1, "(DOE,"), (0, 2, "J."), (0, 3, "(2019))"), (1, 0, "Doe,"), (1, 1, "J."), (1, 2, "(2019)"), (2, 1, "Doe,"), (2, 2, "J."), (2, 3, "(2019)!")]
+
+
+def test_accents_fold_as_by_decomposition(spark):
+    """Marks of any letter go; what isn't a letter with marks stays."""
+    from folioscan.operators import analyser
+
+    words = ["García", "Erdős", "Şahin", "Āboliņš", "Łukasz", "Nguyễn", "İnci", "e\u0301clair", "Ångström", "Żółw", "Ｆull", "ø"]
+    want = ["".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)).lower() for w in words]
+    df = spark.createDataFrame(list(enumerate(words)), "i int, w string")
+    assert [r.f for r in df.select("i", analyser.fold_accents(F.col("w")).alias("f")).orderBy("i").collect()] == want
+
+
+def test_unwrapped_answers(spark):
+    from folioscan.operators.verify import unwrapped
+
+    raws = ['```json\n[{"a": 1}]\n```', '{"n": 1, "results": [{"a": 1}, 2, {"b": 2}]}', "no json", None, '[[1], {"a": {"b": [1]}}]', "7", '{"a": {"b": []}}']
+    df = spark.createDataFrame(list(enumerate(raws)), "i int, raw string")
+    assert [r.n for r in df.select("i", F.size(unwrapped(F.col("raw"))).alias("n")).orderBy("i").collect()] == [1, 2, 0, 0, 1, 0, 0]
