@@ -247,7 +247,7 @@ def links_within(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> Da
     of = clusters.join(sized(blocks), "component").select(F.col("id").alias("node"), "component", "blocks", F.pmod(F.xxhash64("component"), F.lit(places)).alias("place"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     of = table(of, "blocked")
     hubs = of.where("node = component and blocks > 1").select("node", "component", "place", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"), "block").where("to <> block")
-    first = of.select("node", "component", "place", F.col("block").alias("i")).union(hubs.select("node", "component", "place", "to"))
+    first = sized(table(of.select("node", "component", "place", F.col("block").alias("i")).union(hubs.select("node", "component", "place", "to")), "sent"))
     tokens = sets.select("node", "tokens")
     links = table(links_of(tokens.join(first, "node").select("place", "i", F.col("i").alias("j"), "component", "node", "tokens"), num, den), "links")
     many = table(of.where("blocks > 1"), "many")
@@ -263,7 +263,7 @@ def links_within(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> Da
     every, group = F.sequence(F.lit(0), F.col("blocks") - 1), F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups")).cast("int")
     out = many.where("open").select("node", "component", group.alias("i"), F.explode(every).alias("j"))
     back = many.select("node", "component", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), F.col("block").alias("j"))
-    sent = out.union(back).distinct().withColumn("place", F.col("component"))
+    sent = sized(table(out.union(back).distinct().withColumn("place", F.col("component")), "sent"))
     return links.union(table(links_of(tokens.join(sent, "node").select("place", "i", "j", "component", "node", "tokens"), num, den), "links"))
 
 
