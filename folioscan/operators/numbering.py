@@ -36,16 +36,26 @@ def chronological(rows: DataFrame, tie: list[str]) -> DataFrame:
     return r.where("first_mention_page < previous_page").select("doc_id", "number", F.col("first_mention_page").alias("page"), "previous_number", "previous_page")
 
 
+def _sides(above: bool) -> tuple[Column, Column]:
+    """(whether a caption's positions are unknown or on different pages, whether it is on the wrong side)."""
+    if above:
+        return F.col("caption_y0").isNull() | F.col("body_y0").isNull(), F.col("caption_y0") > F.col("body_y0") + TOLERANCE
+    unknown = F.col("caption_y1").isNull() | F.col("image_y0").isNull() | ~F.col("caption_page").eqNullSafe(F.col("image_page"))
+    return unknown, F.col("caption_y1") < F.col("image_y0") - TOLERANCE
+
+
+def misplaced(rows: DataFrame, above: bool) -> DataFrame:
+    """The rows of captions on the wrong side; see caption_side."""
+    unknown, bad = _sides(above)
+    return rows.where(~unknown & bad)
+
+
 def caption_side(rows: DataFrame, above: bool) -> DataFrame:
     """Captions on the wrong side. above (tables): caption_y0 beyond body_y0; else (figures): caption_y1 before image_y0 on the same page; both with a tolerance.
 
     Returns for each document: doc_id, violations, skipped (rows whose positions are unknown or on different pages), passed.
     """
-    if above:
-        unknown, bad = F.col("caption_y0").isNull() | F.col("body_y0").isNull(), F.col("caption_y0") > F.col("body_y0") + TOLERANCE
-    else:
-        unknown = F.col("caption_y1").isNull() | F.col("image_y0").isNull() | ~F.col("caption_page").eqNullSafe(F.col("image_page"))
-        bad = F.col("caption_y1") < F.col("image_y0") - TOLERANCE
+    unknown, bad = _sides(above)
     n = F.count(F.when(~unknown & bad, 1))
     return rows.groupBy("doc_id").agg(n.alias("violations"), F.count(F.when(unknown, 1)).alias("skipped"), (n == 0).alias("passed"))
 
@@ -84,7 +94,7 @@ CALLOUTS = (("Equation (N)", r"\bEquation\s+\(\d+\)"), ("Eq. (N)", r"\bEq\.\s*\(
 
 
 def callout_styles(docs: DataFrame) -> DataFrame:
-    """(doc_id, full_text, offsets) -> call-outs that aren't in the document's most common style: seq, style, dominant, pos, page, evidence.
+    """(doc_id, full_text, offsets) -> call-outs that aren't in the document's most common style: seq, style, dominant, pos, page, found, evidence.
 
     STYLE_CAP for a minority style, EQUATION_CAP for a document; of equally common styles the first listed dominates.
     """
@@ -92,7 +102,7 @@ def callout_styles(docs: DataFrame) -> DataFrame:
     found = F.array(*(F.struct(F.lit(i).alias("k"), spans(text, pattern(p, "i")).alias("s")) for i, (_, p) in enumerate(CALLOUTS)))
     rows = docs.select("doc_id", "full_text", "offsets", F.explode(found).alias("f")).select("doc_id", F.col("f.k").alias("k"), F.posexplode("f.s").alias("i", "s"), "full_text", "offsets")
     evidence = F.trim(F.replace(around(text, F.col("s.start"), F.col("s.start"), 40), F.lit("\n"), F.lit(" ")))
-    rows = rows.select("doc_id", "k", F.col("s.start").alias("pos"), char_to_page(F.col("offsets"), F.col("s.start")).alias("page"), evidence.alias("evidence"))
+    rows = rows.select("doc_id", "k", F.col("s.start").alias("pos"), char_to_page(F.col("offsets"), F.col("s.start")).alias("page"), F.col("s.found").alias("found"), evidence.alias("evidence"))
     has = F.max(F.when(F.col("k") == 1, 1)).over(Window.partitionBy("doc_id"))
     rows = rows.withColumn("style", F.when((F.col("k") == 3) & has.isNotNull(), 1).otherwise(F.col("k")))
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "style")))
@@ -100,7 +110,7 @@ def callout_styles(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "style").orderBy("k", "pos"))).where(F.col("r") <= STYLE_CAP)
     rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("style", "k", "pos"))).where(F.col("seq") <= EQUATION_CAP)
     names = F.array(*(F.lit(n) for n, _ in CALLOUTS))
-    return rows.select("doc_id", "seq", F.element_at(names, F.col("style") + 1).alias("style"), F.element_at(names, F.col("dominant") + 1).alias("dominant"), "pos", "page", "evidence")
+    return rows.select("doc_id", "seq", F.element_at(names, F.col("style") + 1).alias("style"), F.element_at(names, F.col("dominant") + 1).alias("dominant"), "pos", "page", "found", "evidence")
 
 
 def label_number(label: Column) -> Column:

@@ -60,7 +60,7 @@ def with_rules(violations: DataFrame) -> DataFrame:
 
 def candidates(violations: DataFrame) -> DataFrame:
     """Numbered candidates of each document in the rules' order: candidate_id is the check's first six letters without underscores and a running number."""
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("rule_no", "check_id", "seq"))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("rule_no", "check_id", "seq", "detail"))
     prefix = F.replace(F.upper(F.substring("check_id", 1, 6)), F.lit("_"), F.lit(""))
     number = n.cast("string")
     return with_rules(violations).withColumn("candidate_id", F.concat(prefix, F.lit("-"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)))

@@ -62,7 +62,7 @@ s as (select *, case when k = 3 and max(case when k = 1 then 1 end) over (partit
 n as (select *, count(*) over (partition by doc_id, style) as n from s),
 w as (select *, first_value(style) over (partition by doc_id order by n desc, style) as dominant from n),
 x as (select * from w where style <> dominant qualify row_number() over (partition by doc_id, style order by k, s) <= 10)
-select doc_id, row_number() over (partition by doc_id order by style, k, s) as seq, {_STYLES}[style + 1] as style, {_STYLES}[dominant + 1] as dominant, s as pos, s // 401 + 1 as page,
+select doc_id, row_number() over (partition by doc_id order by style, k, s) as seq, {_STYLES}[style + 1] as style, {_STYLES}[dominant + 1] as dominant, s as pos, s // 401 + 1 as page, found,
   trim(replace(substr(o, greatest(s - 40, 0) + 1, s + 40 - greatest(s - 40, 0)), chr(10), ' ')) as evidence from x qualify seq <= 20"""
 
 
