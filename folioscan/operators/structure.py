@@ -186,23 +186,28 @@ def discover(lines: DataFrame, kind: str) -> DataFrame:
 def match_images(captions_: DataFrame, images: DataFrame) -> DataFrame:
     """Images (doc_id, page_number, img, x0, y0, x1, y1) to captions (doc_id, number, caption_page, caption_y0), in the figures' order, each image once.
 
-    On the caption's page images above it within 500 points: nearest in steps of 5, then largest; else the previous page's largest. A document's figures and images are bounded by its pages, so each document is one group.
+    On the caption's page images above it within 500 points: nearest in steps of 5, then largest; else the previous page's largest. A document's figures and images are bounded by its pages, so each document is one row: a fold over its captions that holds the images still free. Images without an id are left out.
     """
-
-    def one(key, c: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        i = i.assign(area=(i.x1 - i.x0) * (i.y1 - i.y0))
-        i, used, rows = i[i.area >= 400], set(), []
-        for r in c.sort_values("number").itertuples():
-            free = i[~i.img.isin(used)]
-            here = free[(free.page_number == r.caption_page) & (free.y1 <= r.caption_y0) & (r.caption_y0 - free.y1 <= 500)]
-            here = here.assign(step=((r.caption_y0 - here.y1) / 5).round()).sort_values(["step", "area", "img"], ascending=[True, False, True])
-            pick = here if len(here) else free[free.page_number == r.caption_page - 1].sort_values(["area", "img"], ascending=[False, True])
-            if len(pick):
-                used.add(pick.img.iloc[0])
-                rows.append((r.doc_id, r.number, int(pick.img.iloc[0])))
-        return pd.DataFrame(rows, columns=["doc_id", "number", "img"])
-
-    return captions_.groupBy("doc_id").cogroup(images.groupBy("doc_id")).applyInPandas(one, "doc_id long, number int, img long")
+    area = ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double")
+    i = images.withColumn("area", area).where((F.col("area") >= 400) & ~F.isnan("area") & F.col("img").isNotNull())
+    i = i.select("doc_id", F.lit(None).alias("c"), F.struct("page_number", F.col("img").cast("long").alias("img"), F.col("y1").cast("double").alias("y1"), "area").alias("i"))
+    c = captions_.select("doc_id", F.struct(F.col("number").isNull(), F.col("number").cast("int").alias("number"), F.col("caption_page").alias("page"), F.col("caption_y0").cast("double").alias("y0")).alias("c"), F.lit(None).alias("i"))
+    each = c.unionByName(i).groupBy("doc_id").agg(F.sort_array(F.collect_list("c")).alias("c"), F.collect_list("i").alias("i")).where((F.size("c") > 0) & (F.size("i") > 0))
+
+    def here(x: Column, r: Column) -> Column:
+        return F.coalesce((x["page_number"] == r["page"]) & (x["y1"] <= r["y0"]) & (r["y0"] - x["y1"] <= 500), F.lit(False))
+
+    def match(held: Column, r: Column) -> Column:
+        can = F.filter(held["free"], lambda x: here(x, r) | (x["page_number"] == r["page"] - 1))
+        step = lambda x: F.when(here(x, r), F.rint((r["y0"] - x["y1"]) / 5)).otherwise(F.lit(0.0))
+        best = F.array_min(F.transform(can, lambda x: F.struct(~here(x, r), step(x), -x["area"], x["img"].alias("img"))))["img"]
+        # As the one element of an array, so that it is found once.
+        taken = F.transform(F.array(best), lambda img: F.when(img.isNull(), held).otherwise(F.struct(F.filter(held["free"], lambda x: x["img"] != img).alias("free"), F.concat(held["found"], F.array(F.struct(r["number"].alias("number"), img.alias("img")))).alias("found"))))
+        return taken[0]
+
+    none = F.struct(F.col("i").alias("free"), F.array().cast("array<struct<number:int,img:bigint>>").alias("found"))
+    found = each.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.aggregate("c", none, match, lambda held: held["found"])).alias("m"))
+    return found.select("doc_id", "m.number", "m.img")
 
 
 # Reference lists in the layout.

@@ -1,5 +1,7 @@
 """Golden rows of numbering, reference, analyser, verifier, layout and streaming operators."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from folioscan.operators import analyser, classifier, numbering, references, structure, verify
@@ -95,6 +97,26 @@ def test_images_go_once(spark):
     assert sorted((r.number, r.img) for r in structure.match_images(c, i).collect()) == [(1, 10), (2, 11)]
 
 
+def test_images_as_one_by_one(spark):
+    """As a search in plain Python, over ties, copies, small images and missing values; no Python runs for each document."""
+    rng, nan = random.Random(5), float("nan")
+    c = [(d, n, rng.choice([1, 2, 3, None]), rng.choice([100.0, 102.5, 300.0, 900.0, nan, None])) for d in range(60) for n in range(rng.randint(0, 5))]
+    i = [(d, rng.choice([1, 2, 3, None]), rng.randint(1, 9), 0.0, rng.choice([0.0, 10.0]), rng.choice([10.0, 30.0, 60.0, nan]), rng.choice([60.0, 62.5, 90.0, 100.0])) for d in range(60) for _ in range(rng.randint(0, 9))]
+    wanted = []
+    for d, n, page, y0 in c:
+        used = {img for e, _, img in wanted if e == d}
+        able = [((x1 - x0) * (y1 - y), p, y1, img) for e, p, img, x0, y, x1, y1 in i if e == d and img not in used and (x1 - x0) * (y1 - y) >= 400]
+        keys = [(round((y0 - y1) / 5), -a, img) for a, p, y1, img in able if None not in (page, y0) and p == page and y1 <= y0 and y0 - y1 <= 500]
+        keys = keys or [(0, -a, img) for a, p, _, img in able if None not in (page, p) and p == page - 1]
+        wanted += [(d, n, min(keys)[2])] if keys else []
+    c = spark.createDataFrame(c, "doc_id long, number int, caption_page int, caption_y0 double")
+    i = spark.createDataFrame(i, "doc_id long, page_number int, img long, x0 double, y0 double, x1 double, y1 double")
+    got = structure.match_images(c, i)
+    assert sorted(map(tuple, got.collect())) == wanted and len(wanted) > 50
+    assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.dtypes == [("doc_id", "bigint"), ("number", "int"), ("img", "bigint")]
+
+
 def test_stream(spark, tmp_path):
     from folioscan.streaming import documents as stream
 
