@@ -168,6 +168,41 @@ def test_near_edge_cases(spark, odd, none, shuffled):
     assert ngram_join.drop_near_copies(odd).columns == odd.columns
 
 
+def test_near_groups_in_parts(spark, monkeypatch):
+    """However few tokens may be on disk at once, the links stay; no part has the tokens of all sets."""
+    rng, rows = random.Random(8), []
+    for g in range(6):
+        base = [f"w{g}_{i}" for i in range(60)]
+        for _ in range(4):
+            rows.append((len(rows), " ".join(base)))
+            base[rng.randrange(60)] = f"v{len(rows)}"
+    held, write = [], ngram_join.table
+
+    def noted(df, name):
+        out = write(df, name)
+        if name == "sets" and "tokens" in out.columns:
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "table", noted)
+    monkeypatch.setattr(ngram_join, "HELD_BYTES", 6000, raising=False)
+    monkeypatch.setattr(ngram_join, "HELD_SHARE", 1 << 30, raising=False)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()}
+    assert got == near_brute(rows, 5, 80, 100) and max(held) < len(rows)
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    def files():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before = files()
+    got = _shared.table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().join(spark.range(7).withColumnRenamed("id", "k").hint("merge"), "k"), "counted")
+    assert not files() - before and got.count() == 7
+    assert spark.conf.get(_shared.TIDY, None) != "true"
+    spark.range(10).repartition(3).collect()
+    assert files() - before
+
+
 def test_linked_parts():
     rng = np.random.RandomState(2)
     sets = [np.unique(rng.randint(0, 60, 40)).astype(np.uint64) for _ in range(40)]
